@@ -46,3 +46,58 @@ TYPE_LOG = f"""
       WHEN data_type IN {one_of(fixed.SPECIFIC_TYPES)} THEN '{fixed.SPECIFIC_REASON}'
       ELSE '{fixed.OTHER_REASON}' END AS reason
   FROM mapped WHERE data_type <> new_type"""
+
+
+def _union(*queries: str) -> str:
+    return "\nUNION ALL\n".join(queries)
+
+
+_COLUMN_PLACE = "table_name || '.' || column_name"
+COLUMN_FEATURES = _union(
+    f"SELECT schema_id, 'ARRAY_TYPE' AS feature_type, 'CRITICAL' AS severity, {_COLUMN_PLACE} AS location, data_type FROM f_columns WHERE data_type LIKE '%[]%'",
+    f"SELECT schema_id, 'UUID_FUNCTION', 'HIGH', {_COLUMN_PLACE}, data_type FROM f_columns WHERE default_value = 'gen_random_uuid()'",
+    f"SELECT schema_id, 'NEGATIVE_DEFAULT', 'MEDIUM', {_COLUMN_PLACE}, data_type FROM f_columns WHERE default_value = '-1'")
+TYPE_FEATURES = f"""
+  SELECT schema_id, feature_type, severity, {_COLUMN_PLACE} AS location, data_type FROM f_columns
+  JOIN (SELECT * FROM {values(fixed.TYPE_FEATURES, 't, feature_type, severity')}) x
+    ON x.t = replace(split_part(data_type, '(', 1), '[]', '')"""
+TABLE_FEATURES = _union(
+    "SELECT schema_id, 'TABLE_INHERITANCE' AS feature_type, 'CRITICAL' AS severity, table_name AS location, '' AS data_type FROM f_tables WHERE table_no % 20 = 0",
+    "SELECT schema_id, 'TABLE_PARTITIONING', 'CRITICAL', table_name, '' FROM f_tables WHERE table_no % 20 = 1")
+_CONSTRAINT_PLACE = "table_name || '.' || constraint_name"
+CONSTRAINT_FEATURES = _union(
+    f"SELECT schema_id, 'CHECK_CONSTRAINT' AS feature_type, 'HIGH' AS severity, {_CONSTRAINT_PLACE} AS location, '' AS data_type FROM f_constraints WHERE constraint_type = 'c'",
+    f"SELECT schema_id, 'DEFERRABLE_CONSTRAINT', 'HIGH', {_CONSTRAINT_PLACE}, '' FROM f_constraints WHERE definition LIKE '%DEFERRABLE%'",
+    f"SELECT schema_id, 'EXCLUDE_CONSTRAINT', 'CRITICAL', {_CONSTRAINT_PLACE}, '' FROM f_constraints WHERE definition LIKE 'EXCLUDE%'")
+_INDEX_PLACE = "table_name || '.' || index_name"
+INDEX_FEATURES = _union(
+    f"SELECT schema_id, 'PARTIAL_INDEX' AS feature_type, 'HIGH' AS severity, {_INDEX_PLACE} AS location, '' AS data_type FROM f_indexes WHERE definition LIKE '%WHERE%'",
+    f"SELECT schema_id, 'EXPRESSION_INDEX', 'HIGH', {_INDEX_PLACE}, '' FROM f_indexes WHERE columns LIKE '%(%'",
+    f"SELECT schema_id, 'CONCURRENT_INDEX', 'MEDIUM', {_INDEX_PLACE}, '' FROM f_indexes WHERE definition LIKE '%CONCURRENTLY%'",
+    f"SELECT schema_id, 'OPERATOR_CLASS', 'HIGH', {_INDEX_PLACE}, '' FROM f_indexes WHERE columns LIKE '%gin_trgm_ops'")
+RELATIONSHIP_FEATURES = _union(
+    "SELECT schema_id, 'CASCADE_ACTION' AS feature_type, 'MEDIUM' AS severity, source_table || ' -> ' || target_table AS location, '' AS data_type FROM f_relationships WHERE on_delete = 'CASCADE' OR on_update = 'CASCADE'",
+    "SELECT schema_id, 'COMPOSITE_FOREIGN_KEY', 'HIGH', source_table || ' -> ' || target_table, '' FROM f_relationships WHERE source_columns LIKE '%,%'")
+FEATURES = _union(COLUMN_FEATURES, TYPE_FEATURES, TABLE_FEATURES, CONSTRAINT_FEATURES,
+                  INDEX_FEATURES, RELATIONSHIP_FEATURES)
+ROUTED_FEATURES = """
+  SELECT *, CASE WHEN feature_type IN ('TABLE_INHERITANCE', 'TABLE_PARTITIONING', 'MULTIRANGE_TYPE', 'EXCLUDE_CONSTRAINT')
+    THEN 'DROPPED' ELSE 'PROCESSED' END AS action FROM features"""
+NEEDED_DECISIONS = f"""
+  SELECT features.*, v.decision FROM features
+  JOIN {values(fixed.FEATURE_DECISION.items(), 'feature_type, decision')} ON features.feature_type = v.feature_type"""
+
+ROUTED = """
+  SELECT *, CASE WHEN constraint_type IN ('c', 'x') THEN 'DROPPED'
+      WHEN constraint_type = 'f' AND definition LIKE '%DEFERRABLE%' THEN 'MODIFIED' ELSE 'KEPT' END AS action,
+    CASE WHEN constraint_type = 'c' THEN 'CHECK' WHEN constraint_type = 'x' THEN 'EXCLUDE'
+      WHEN constraint_type = 'f' AND definition LIKE '%DEFERRABLE%' THEN 'FOREIGN_KEY_DEFERRABLE' ELSE '' END AS change,
+    replace(definition, ' DEFERRABLE INITIALLY DEFERRED', '') AS new_definition
+  FROM f_constraints"""
+DROPS = f"""
+  SELECT schema_id, table_name, constraint_name, r.change AS kind, v.reason, v.impact, definition
+  FROM routed r JOIN {values([(k, *x) for k, x in fixed.DROP_REASONS.items()], 'change, reason, impact')}
+    ON v.change = r.change WHERE action = 'DROPPED'"""
+CONSTRAINT_WARNINGS = _union(
+    "SELECT schema_id, 'Dropped ' || kind || ' constraint ''' || constraint_name || ''' on table ''' || table_name || ''': ' || reason AS message FROM drops",
+    "SELECT schema_id, 'Modified constraint ''' || constraint_name || ''' on table ''' || table_name || ''': removed DEFERRABLE option' FROM routed WHERE action = 'MODIFIED'")
