@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from attestor import fixed, scale
+from attestor.session import written
 from attestor.sources.catalog import Catalog
 
 TABLE = ["schema_id", "table_name"]
@@ -101,48 +102,61 @@ def _substrings(text: Column, lengths: Column) -> Column:
         F.sequence(F.lit(1), F.length(text) - n + 1), lambda at: F.substring(text, at, n)))))
 
 
-def silent_only(losses: DataFrame, warnings: DataFrame, together: int = MESSAGES_TOGETHER) -> DataFrame:
-    """The losses that no warning of the same schema names.
+def mark_documented(losses: DataFrame, warnings: DataFrame,
+                    together: int = MESSAGES_TOGETHER) -> DataFrame:
+    """Mark the losses that a warning of the same schema names.
 
     A warning documents a loss if its message contains the table name and, where there is
     one, the other table, the column, or in upper case the constraint kind. Hidden cascades
     are never documented by a warning.
 
     Schemas with few warnings, at most ``together``, carry them as an array next to each
-    loss. Where a schema has more, comparing every loss with every message would grow with
-    their product. There each message is cut into its parts of the lengths that lost names
-    have, and the parts are joined to the names by equality; work grows with the messages.
+    loss. A small job first looks whether any schema has more. There, comparing every loss
+    with every message would grow with their product, so each message is cut into its parts
+    of the lengths that lost names have, and the parts are joined to the names by equality;
+    that work grows with the messages.
     """
-    is_kind = F.col("type") == "MISSING_CONSTRAINT"
-    open_losses = losses.filter("type <> 'INVISIBLE_CASCADE'")
-    always = losses.filter("type = 'INVISIBLE_CASCADE'")
     messages = warnings.filter("message IS NOT NULL").select("schema_id", "message")
-    sizes = messages.groupBy("schema_id").agg(F.count("*").alias("_n"))
-    many = sizes.filter(F.col("_n") > together).select("schema_id")
+    many = (messages.groupBy("schema_id").agg(F.count("*").alias("_n"))
+            .filter(F.col("_n") > together).select("schema_id"))
+    if many.isEmpty():
+        return _marked_by_messages(losses, messages)
+    losses = written(losses, "losses")
+    return _marked_by_messages(
+        losses.join(many, "schema_id", "left_anti"),
+        messages.join(many, "schema_id", "left_anti"),
+    ).unionByName(_marked_by_parts(
+        losses.join(many, "schema_id", "left_semi"),
+        messages.join(many, "schema_id", "left_semi").distinct()))
+
+
+_IS_KIND = "type = 'MISSING_CONSTRAINT'"
+_IS_CASCADE = "type = 'INVISIBLE_CASCADE'"
 
-    # few warnings
-    few = (messages.join(sizes.filter(F.col("_n") <= together).select("schema_id"), "schema_id", "left_semi")
-           .groupBy("schema_id").agg(F.collect_set("message").alias("_messages")))
 
+def _marked_by_messages(losses: DataFrame, messages: DataFrame) -> DataFrame:
     def names_it(m: Column) -> Column:
-        detail = (F.when(is_kind, F.contains(F.upper(m), F.upper("detail")))
+        detail = (F.when(F.expr(_IS_KIND), F.contains(F.upper(m), F.upper("detail")))
                   .otherwise(F.contains(m, F.col("detail"))))
         return F.contains(m, F.col("table_name")) & detail
 
-    here = open_losses.join(many, "schema_id", "left_anti").join(few, "schema_id", "left")
-    silent_here = here.filter(
-        F.col("_messages").isNull() | ~F.exists("_messages", names_it)).select(*LOSS)
+    together = messages.groupBy("schema_id").agg(F.collect_set("message").alias("_messages"))
+    documented = F.coalesce(F.exists("_messages", names_it), F.lit(False)) & ~F.expr(_IS_CASCADE)
+    return (losses.join(together, "schema_id", "left")
+            .select(*LOSS, documented.alias("is_documented")))
 
-    # many warnings
-    there = open_losses.join(many, "schema_id", "left_semi")
-    keyed = there.withColumn("_how", F.when(is_kind, "kind").when(F.col("detail") == "", "table").otherwise("name"))
-    lengths = keyed.groupBy("schema_id").agg(
+
+def _marked_by_parts(losses: DataFrame, messages: DataFrame) -> DataFrame:
+    how = (F.when(F.expr(_IS_CASCADE), "never").when(F.expr(_IS_KIND), "kind")
+           .when(F.col("detail") == "", "table").otherwise("name"))
+    keyed = losses.withColumn("_how", how)
+    open_losses = keyed.filter("_how <> 'never'")
+    lengths = open_losses.groupBy("schema_id").agg(
         F.collect_set(F.length("table_name")).alias("_table_lengths"),
         F.collect_set(F.when(F.col("_how") == "name", F.length("detail"))).alias("_detail_lengths"))
-    names = keyed.select(*TABLE).distinct()
-    mentions = (messages.join(many, "schema_id", "left_semi").distinct().join(lengths, "schema_id")
+    mentions = (messages.join(lengths, "schema_id")
                 .withColumn("table_name", F.explode(_substrings(F.col("message"), F.col("_table_lengths"))))
-                .join(names, TABLE, "left_semi"))
+                .join(open_losses.select(*TABLE).distinct(), TABLE, "left_semi"))
     kinds = scale.rules(*[(F.contains(F.upper("message"), F.lit(k.upper())), F.lit(k))
                           for k in fixed.CONSTRAINT_KINDS.values()])
     documented = reduce(DataFrame.unionByName, [
@@ -150,19 +164,28 @@ def silent_only(losses: DataFrame, warnings: DataFrame, together: int = MESSAGES
         mentions.select(*TABLE, F.lit("kind").alias("_how"), F.explode(kinds).alias("detail")),
         mentions.select(*TABLE, F.lit("name").alias("_how"),
                         F.explode(_substrings(F.col("message"), F.col("_detail_lengths"))).alias("detail")),
-    ]).distinct()
-    silent_there = keyed.join(documented, [*TABLE, "_how", "detail"], "left_anti").select(*LOSS)
-    return silent_here.unionByName(silent_there).unionByName(always.select(*LOSS))
+    ]).distinct().withColumn("_found", F.lit(True))
+    return (keyed.join(documented, [*TABLE, "_how", "detail"], "left")
+            .select(*LOSS, F.col("_found").isNotNull().alias("is_documented")))
+
+
+def silent_only(losses: DataFrame, warnings: DataFrame, together: int = MESSAGES_TOGETHER) -> DataFrame:
+    """The losses that no warning names."""
+    return mark_documented(losses, warnings, together).filter("NOT is_documented").select(*LOSS)
 
 
 def silent_failures(a: Catalog, b: Catalog, warnings: DataFrame) -> DataFrame:
     """All five kinds of loss, without those that are documented."""
+    return silent_only(all_losses(a, b), warnings)
+
+
+def all_losses(a: Catalog, b: Catalog) -> DataFrame:
     found = [missing_tables(a.tables, b.tables),
              missing_relationships(a.relationships, b.relationships),
              missing_constraints(a.constraints, b.constraints, b.tables),
              hidden_cascades(b.relationships),
              missing_columns(a.columns, b.columns, b.tables)]
-    return silent_only(reduce(DataFrame.unionByName, found), warnings)
+    return reduce(DataFrame.unionByName, found)
 
 
 def failure_report(failures: DataFrame) -> DataFrame:

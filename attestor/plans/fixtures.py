@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from attestor import scale
-from attestor.session import configure
+from attestor.session import configure, written
 from attestor.sources.catalog import Catalog
 
 TABLES = ["region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events",
@@ -157,6 +157,12 @@ def with_views(sql: str, **more: str) -> str:
     return ("WITH " + ",\n".join(ctes) + "\n" if ctes else "") + sql
 
 
+# Views that cost a shuffle and are read many times. They are written once per session and
+# folder, as a stored catalog would be, and read back with pruned columns.
+WRITTEN = ["f_columns", "f_rel1", "f_lines"]
+_written: dict[tuple[str, str, str], DataFrame] = {}
+
+
 class Inputs:
     """The driver tables and the derived views of one data folder."""
 
@@ -167,9 +173,15 @@ class Inputs:
 
     def table(self, name: str) -> DataFrame:
         if name not in self._made:
-            self._made[name] = self._make(name)
+            self._made[name] = self._stored(name) if name in WRITTEN else self._make(name)
         return self._made[name]
 
+    def _stored(self, name: str) -> DataFrame:
+        key = (self.spark.sparkContext.applicationId, self.dir, name)
+        if key not in _written:
+            _written[key] = written(self._make(name), name)
+        return _written[key]
+
     def _make(self, name: str) -> DataFrame:
         if name in TABLES:
             return self.spark.read.parquet(f"{self.dir}/{name}.parquet")
