@@ -143,3 +143,51 @@ SILENT = """
     SELECT 1 FROM f_warnings w WHERE w.schema_id = l.schema_id AND contains(w.message, l.table_name)
       AND CASE WHEN l.type = 'MISSING_CONSTRAINT' THEN contains(upper(w.message), upper(l.detail))
         ELSE contains(w.message, l.detail) END)"""
+
+KEY_COLUMNS = """
+  SELECT DISTINCT schema_id, table_name, column_name FROM (
+    SELECT schema_id, table_name, column_name FROM f_columns WHERE is_primary_key
+    UNION ALL SELECT schema_id, table_name, columns FROM f_constraints WHERE constraint_type = 'p') u"""
+ISSUES = _union(
+    "SELECT schema_id, 'INVALID_TABLE_NAME' AS issue_type, 'HIGH' AS severity, table_name AS subject FROM f_tables WHERE table_name LIKE '%-%'",
+    f"SELECT schema_id, 'INVALID_COLUMN_NAME', 'HIGH', {_COLUMN_PLACE} FROM f_columns WHERE column_name LIKE '%-%'",
+    f"SELECT schema_id, 'RESERVED_KEYWORD', 'MEDIUM', {_COLUMN_PLACE} FROM f_columns WHERE column_name = 'note'",
+    f"SELECT schema_id, 'LONG_COLUMN_NAME', 'LOW', {_COLUMN_PLACE} FROM f_columns WHERE length(column_name) > 50",
+    """SELECT schema_id, 'NO_PRIMARY_KEY', 'MEDIUM', table_name FROM f_tables t WHERE NOT EXISTS (
+      SELECT 1 FROM key_columns k WHERE k.schema_id = t.schema_id AND k.table_name = t.table_name)""",
+    f"SELECT schema_id, 'COMPLEX_DATA_TYPE', 'MEDIUM', {_COLUMN_PLACE} FROM f_columns WHERE data_type LIKE '%[]%' OR data_type LIKE '%(%,%)%'",
+    "SELECT schema_id, 'COMPOSITE_RELATIONSHIP', 'HIGH', source_table || ' -> ' || target_table FROM f_relationships WHERE source_columns LIKE '%,%'",
+    "SELECT schema_id, 'SELF_REFERENCING', 'MEDIUM', source_table || ' -> ' || target_table FROM f_relationships WHERE source_table = target_table",
+    "SELECT schema_id, 'CASCADE_ACTION_INVISIBLE', 'MEDIUM', source_table || ' -> ' || target_table FROM f_relationships WHERE on_delete = 'CASCADE' OR on_update = 'CASCADE'")
+SCORES = """
+  SELECT schema_id, count(issue_type) AS n_issues, count(*) FILTER (severity = 'HIGH') AS n_high,
+    greatest(0, 1 - coalesce(sum(CASE severity WHEN 'HIGH' THEN 3 WHEN 'MEDIUM' THEN 2 WHEN 'LOW' THEN 1 END), 0)
+      / greatest(count(issue_type) * 3, 10)) AS score
+  FROM (SELECT DISTINCT schema_id FROM f_tables) s LEFT JOIN issues USING (schema_id) GROUP BY 1"""
+
+VALIDATED = """
+  SELECT r.*, CASE
+    WHEN NOT EXISTS (SELECT 1 FROM f_tables t WHERE t.schema_id = r.schema_id AND t.table_name = r.source_table) THEN 'MISSING_SOURCE_TABLE'
+    WHEN NOT EXISTS (SELECT 1 FROM f_tables t WHERE t.schema_id = r.schema_id AND t.table_name = r.target_table) THEN 'MISSING_TARGET_TABLE'
+    WHEN (SELECT count(DISTINCT c.column_name) FROM f_columns c WHERE c.schema_id = r.schema_id AND c.table_name = r.source_table
+      AND list_contains(string_split(r.source_columns, ','), c.column_name)) < len(string_split(r.source_columns, ',')) THEN 'MISSING_SOURCE_COLUMNS'
+    WHEN (SELECT count(DISTINCT c.column_name) FROM f_columns c WHERE c.schema_id = r.schema_id AND c.table_name = r.target_table
+      AND list_contains(string_split(r.target_columns, ','), c.column_name)) < len(string_split(r.target_columns, ',')) THEN 'MISSING_TARGET_COLUMNS'
+    WHEN len(string_split(r.source_columns, ',')) <> len(string_split(r.target_columns, ',')) THEN 'COLUMN_COUNT_MISMATCH' END AS skip_type
+  FROM f_relationships r"""
+UNIQUE_KEYS = """
+  SELECT DISTINCT * FROM (
+    SELECT schema_id, table_name, string_agg(DISTINCT columns, ',' ORDER BY columns) AS k FROM f_constraints WHERE constraint_type = 'p' GROUP BY 1, 2
+    UNION ALL SELECT schema_id, table_name, columns FROM f_constraints WHERE constraint_type = 'u'
+    UNION ALL SELECT schema_id, table_name, column_name FROM f_columns WHERE is_unique OR is_primary_key) u"""
+TYPED = """
+  SELECT r.*, CASE WHEN s.k IS NOT NULL AND t.k IS NOT NULL THEN 'one-to-one' ELSE 'many-to-one' END AS relationship_type,
+    t.k IS NOT NULL AS target_is_unique
+  FROM (SELECT * FROM validated WHERE skip_type IS NULL) r
+  LEFT JOIN unique_keys s ON s.schema_id = r.schema_id AND s.table_name = r.source_table AND s.k = r.source_columns
+  LEFT JOIN unique_keys t ON t.schema_id = r.schema_id AND t.table_name = r.target_table AND t.k = r.target_columns"""
+BUILT = """
+  SELECT schema_id, source_table, source_columns, target_table, target_columns, min(rel_no) AS rel_no,
+    min_by(on_delete, rel_no) AS on_delete, min_by(on_update, rel_no) AS on_update, min(relationship_type) AS relationship_type,
+    bool_and(target_is_unique) AS target_is_unique, count(*) - 1 AS n_removed
+  FROM typed GROUP BY 1, 2, 3, 4, 5"""
