@@ -130,6 +130,46 @@ VIEWS["f_lines"] = """
       ELSE '' END AS line
   FROM orders"""
 
+# lines of a rendered diagram, with mistakes in them
+VIEWS["f_diagram"] = """
+  SELECT schema_id AS doc, table_no * 100 AS line_no, 'Table ' || table_name
+    || CASE WHEN table_no % 3 = 0 THEN '[headercolor: red] {' ELSE ' [headercolor: red] {' END AS line FROM f_tables
+  UNION ALL
+  SELECT schema_id, table_no * 100 + ordinal, '  ' || column_name || ' '
+    || CASE WHEN p % 16 = 14 THEN 'timestamp with time zone' WHEN p % 32 = 0 THEN 'double  precision' ELSE data_type END
+    || ' [default: ' || coalesce(default_value, '0') || ']' FROM f_columns
+  UNION ALL
+  SELECT schema_id, rel_no * 100 + 50, CASE rel_no % 5 WHEN 0 THEN 'Ref: ' || source_table || '.c_2 > ' || target_table || '.c_1'
+      WHEN 1 THEN 'Ref: ' || source_table WHEN 2 THEN '  [color: red]' WHEN 3 THEN '// text[] in a comment' ELSE '   ' END FROM f_rel1
+  UNION ALL
+  SELECT schema_id, table_no * 100 + 99, '}' FROM f_tables WHERE table_no % 13 <> 0"""
+
+# statements of a schema script, one per line
+VIEWS["f_ddl"] = """
+  SELECT schema_id AS script_id, table_no * 1000 AS line_no,
+    CASE table_no % 4 WHEN 0 THEN 'CREATE TABLE public.' || table_name WHEN 1 THEN 'create table if not exists "' || table_name || '"'
+      WHEN 2 THEN 'CREATE  TABLE "odd""' || table_name || '"' ELSE 'CREATE TABLE ' || table_name END
+    || ' (id integer)' || CASE table_no % 20 WHEN 0 THEN ' INHERITS (base)' WHEN 1 THEN ' PARTITION OF base' ELSE '' END || ';' AS line
+  FROM f_tables
+  UNION ALL
+  SELECT schema_id, table_no * 1000 + 1, 'CREATE TABLE ' || table_name || ' (again text);' FROM f_tables WHERE table_no % 9 = 0
+  UNION ALL
+  SELECT schema_id, table_no * 1000 + 2, 'CREATE SEQUENCE public.s_' || CAST(table_no AS string) || ' START 1;' FROM f_tables WHERE table_no % 5 = 0
+  UNION ALL
+  SELECT schema_id, table_no * 1000 + 3, 'ALTER TABLE public.' || table_name || ' ADD COLUMN c_' || CAST(table_no % 9 AS string)
+    || ' integer DEFAULT 5;' FROM f_tables WHERE table_no % 6 = 0
+  UNION ALL
+  SELECT schema_id, table_no * 1000 + 4, CASE WHEN table_no % 14 = 0 THEN 'CREATE TYPE empty AS ENUM (none);'
+    ELSE 'CREATE TYPE mood_' || CAST(table_no AS string) || ' AS ENUM (''sad'', ''very happy'');' END FROM f_tables WHERE table_no % 7 = 0
+  UNION ALL
+  SELECT schema_id, table_no * 1000 + 100 + CAST(substr(constraint_name, 3) AS INT), 'ALTER TABLE '
+    || CASE WHEN table_no % 2 = 0 THEN 'ONLY public.' ELSE '' END || table_name || ' ADD CONSTRAINT ' || constraint_name || ' ' || definition || ';'
+  FROM f_constraints
+  UNION ALL
+  SELECT schema_id, CAST(split_part(index_name, '_', 2) AS BIGINT) * 1000 + 200 + CAST(split_part(index_name, '_', 3) AS INT),
+    'CREATE ' || CASE WHEN is_unique THEN 'UNIQUE ' ELSE '' END || 'INDEX ' || index_name || ' ON public.' || table_name
+    || CASE WHEN index_method = 'gin' THEN ' USING GIN ' ELSE ' ' END || '(' || columns || ');' FROM f_indexes"""
+
 
 def needs(name: str) -> list[str]:
     """The views that a view reads, and itself, in the order in which they must be defined."""
@@ -201,6 +241,13 @@ class Inputs:
         text = re.sub(rf"\b(FROM|JOIN) ({known})\b", r"\1 {\2}", sql.replace("{", "{{").replace("}", "}}"))
         return self.spark.sql(text, **inputs)
 
+    def scripts(self, view: str = "f_ddl") -> DataFrame:
+        """The lines of a view joined to one text per script."""
+        lines = self.table(view)
+        key = lines.columns[0]
+        joined = scale.assemble(lines, [key], ["line_no"], "line", "\n")
+        return joined.select(F.col(key).alias("script_id"), F.col("line").alias("sql"))
+
     def catalog(self, copy: bool = False) -> Catalog:
         """The source catalog, or its lossy copy; lists of columns become arrays."""
         side = "c" if copy else "f"
