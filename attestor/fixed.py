@@ -268,3 +268,32 @@ ERROR_SEVERITY = {
     "GenerationError": "MEDIUM",
     "Warning": "MEDIUM",
 }
+
+# --- fixed values: diagram text -------------------------------------------------------------
+
+HEADER = [
+    "// Schema diagram",
+    "// WARNING: this text holds less than the database - see the report",
+    "",
+    "Project postgresql_schema {",
+    "  database_type: 'PostgreSQL'",
+    "  Note: '''",
+    "    Some features may be missing or simplified.",
+    "  '''",
+    "}",
+    "",
+]
+TABLE_SETTINGS = "[headercolor: #3498DB]"
+PLACEHOLDER = "_placeholder text [note: 'Partition table - columns inherited from parent']"
+
+# class of the referential action -> colour of the line
+ACTION_COLOURS = {"cascade": "#E74C3C", "restrict": "#F39C12", "set": "#3498DB", "other": "#79AD51"}
+
+# advice of the report
+REPORT_ADVICE = {
+    "low_sigma": "review silent failures and constraint handling",
+    "dropped_features": "document dropped features separately",
+    "array_types": "verify that quoted array types display correctly",
+    "dropped_checks": "implement dropped CHECK logic in the application",
+}
+NO_REPORT_ADVICE = "no specific recommendations"
