@@ -7,6 +7,7 @@ whole schema are built differently in Spark, where that window is split into blo
 from __future__ import annotations
 
 import re
+from dataclasses import replace
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -210,6 +211,7 @@ class Inputs:
         self.spark = configure(spark)
         self.dir = sf_dir
         self._made: dict[str, DataFrame] = {}
+        self._catalogs: dict[bool, Catalog] = {}
 
     def table(self, name: str) -> DataFrame:
         if name not in self._made:
@@ -250,6 +252,11 @@ class Inputs:
 
     def catalog(self, copy: bool = False) -> Catalog:
         """The source catalog, or its lossy copy; lists of columns become arrays."""
+        if copy not in self._catalogs:
+            self._catalogs[copy] = self._catalog(copy)
+        return replace(self._catalogs[copy])
+
+    def _catalog(self, copy: bool) -> Catalog:
         side = "c" if copy else "f"
 
         def listed(name: str, *columns: str) -> DataFrame:

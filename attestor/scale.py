@@ -101,12 +101,12 @@ def tally(keys: list[str], *parts: tuple[DataFrame, dict[str, Column]]) -> DataF
     parts are stacked and grouped once: sums combine before the only shuffle, and no count
     has to be joined to another.
     """
-    names = [name for _, counts in parts for name in counts]
-    names = list(dict.fromkeys(names))
-    stacked = None
+    stacked, names = None, {}
     for df, counts in parts:
-        piece = df.select(*keys, *[counts.get(n, F.lit(0)).cast("long").alias(n) for n in names])
-        stacked = piece if stacked is None else stacked.unionByName(piece)
+        piece = df.select(*keys, *[c.cast("long").alias(n) for n, c in counts.items()])
+        names.update(dict.fromkeys(counts))
+        # what a part does not count is null there, and sums skip nulls
+        stacked = piece if stacked is None else stacked.unionByName(piece, allowMissingColumns=True)
     return stacked.groupBy(*keys).agg(*[F.coalesce(F.sum(n), F.lit(0)).alias(n) for n in names])
 
 
