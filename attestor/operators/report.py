@@ -23,7 +23,10 @@ def reason_examples(log: DataFrame, first: int = 3) -> DataFrame:
 
 
 def by_original_type(log: DataFrame) -> DataFrame:
-    """Type changes by old type: number of columns and the distinct new types."""
+    """Type changes by old type: number of columns and the distinct new types.
+
+    An old type has two new ones at most, as an enum of the schema and otherwise.
+    """
     return log.groupBy(*KEY, "original_type").agg(
         F.count("*").alias("n_columns"), F.array_sort(F.collect_set("new_type")).alias("new_types"))
 

@@ -107,10 +107,11 @@ def type_log(mapped: DataFrame) -> DataFrame:
 
 
 def type_report(log: DataFrame) -> DataFrame:
-    """Counts per schema and reason, with the distinct pairs of types; the log is the full list."""
-    pair = F.concat("original_type", F.lit(" -> "), "new_type")
-    return log.groupBy("schema_id", "reason").agg(
-        F.count("*").alias("n_columns"), F.array_sort(F.collect_set(pair)).alias("changes"))
+    """Counts per schema and reason: by pair of types, and in all ('ALL'); the log is the list."""
+    keys = ["schema_id", "reason"]
+    return (log.groupingSets([[*keys, "original_type", "new_type"], keys], *keys, "original_type", "new_type")
+            .agg(F.count("*").alias("n_columns"))
+            .withColumns({c: F.coalesce(c, F.lit("ALL")) for c in ["original_type", "new_type"]}))
 
 
 _CASTS = {

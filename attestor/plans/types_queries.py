@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from attestor import fixed
-from attestor.functions.names import listed, type_components
+from attestor.functions.names import type_components
 from attestor.operators import types as ops
 from attestor.plans.registry import query
 from attestor.plans.sql_parts import MAPPED, TYPE_LOG, TYPE_WARNINGS, mapped, values
@@ -72,11 +72,12 @@ def typ_log(i):
 
 
 @query("typ_report", """
-  SELECT schema_id, reason, count(*) AS n_columns,
-    (SELECT string_agg(x, ',' ORDER BY x) FROM unnest(list(DISTINCT original_type || ' -> ' || new_type)) u(x)) AS changes
-  FROM type_log GROUP BY schema_id, reason""", mapped=MAPPED, type_log=TYPE_LOG)
+  SELECT schema_id, reason, coalesce(original_type, 'ALL') AS original_type, coalesce(new_type, 'ALL') AS new_type,
+    count(*) AS n_columns FROM type_log
+  GROUP BY GROUPING SETS ((schema_id, reason, original_type, new_type), (schema_id, reason))""",
+       mapped=MAPPED, type_log=TYPE_LOG)
 def typ_report(i):
-    return ops.type_report(ops.type_log(mapped_columns(i))).withColumn("changes", listed("changes"))
+    return ops.type_report(ops.type_log(mapped_columns(i)))
 
 
 @query("typ_alt", "SELECT schema_id, table_name, ordinal, data_type, new_type FROM mapped",

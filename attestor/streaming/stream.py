@@ -26,15 +26,20 @@ def stream_quality(events: DataFrame, defect: Column, time: str = "ts", window:
 
 
 def stream_validate(events: DataFrame, rules: dict[str, Column], parent: DataFrame,
-                    on: tuple[str, str]) -> DataFrame:
+                    on: tuple[str, str], salts: int = 8) -> DataFrame:
     """Each row with the names of the rules it breaks; rows with none are good.
 
     A rule that gives null is met. The reference ``on`` (column, parent column) is checked by
     a left join with the static parent; it adds the rule name 'reference'. No state is kept.
+    Streams are not re-planned at run time, so the join is salted: the rows of a key are
+    spread over ``salts`` tasks by their content, and each parent key is repeated as often.
     """
     column, key = on
-    parents = parent.select(F.col(key).alias(column)).distinct().withColumn("_parent", F.lit(True))
-    joined = events.join(parents, column, "left")
+    parents = (parent.select(F.col(key).alias(column)).distinct()
+               .select(column, F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("_salt"),
+                       F.lit(True).alias("_parent")))
+    salt = F.pmod(F.xxhash64(*events.columns), F.lit(salts)).cast("int")
+    joined = events.withColumn("_salt", salt).join(parents, [column, "_salt"], "left").drop("_salt")
     broken = scale.rules(
         *[(F.coalesce(~rule, F.lit(False)), F.lit(name)) for name, rule in rules.items()],
         (F.col(column).isNotNull() & F.col("_parent").isNull(), F.lit("reference")))
@@ -53,7 +58,8 @@ def stream_first(events: DataFrame, keys: list[str], time: str = "ts", delay: st
     """The first arrival of each key.
 
     State holds a key only while it is inside the watermark, so a copy that comes more than
-    ``delay`` after the first one may pass again.
+    ``delay`` after the first one may pass again. The copies of a busy key stream through one
+    task, which keeps one row of state for them and buffers none.
     """
     return events.withWatermark(time, delay).dropDuplicatesWithinWatermark(keys)
 
