@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from attestor import fixed
 
 BLOCK = 1 << 20
+WIDE_TALLY = 12
 
 
 def dimension(df: DataFrame, rows: Sequence[tuple], names: list[str]) -> DataFrame:
@@ -99,12 +100,17 @@ def tally(keys: list[str], *parts: tuple[DataFrame, dict[str, Column]]) -> DataF
 
     Each part gives a DataFrame and the numbers or conditions to add up from its rows. All
     parts are stacked and grouped once: sums combine before the only shuffle, and no count
-    has to be joined to another.
+    has to be joined to another. With many counts the generated grouping code becomes too
+    large to be compiled by the JVM, so each part is summed by itself first and the stack
+    holds one row per key and part.
     """
-    stacked, names = None, {}
+    names = list(dict.fromkeys(n for _, counts in parts for n in counts))
+    wide = len(names) > WIDE_TALLY
+    stacked = None
     for df, counts in parts:
         piece = df.select(*keys, *[c.cast("long").alias(n) for n, c in counts.items()])
-        names.update(dict.fromkeys(counts))
+        if wide:
+            piece = piece.groupBy(*keys).agg(*[F.sum(n).alias(n) for n in counts]) if counts else piece.distinct()
         # what a part does not count is null there, and sums skip nulls
         stacked = piece if stacked is None else stacked.unionByName(piece, allowMissingColumns=True)
     return stacked.groupBy(*keys).agg(*[F.coalesce(F.sum(n), F.lit(0)).alias(n) for n in names])
