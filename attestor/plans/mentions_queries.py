@@ -5,7 +5,6 @@ from pyspark.sql import functions as F
 from attestor.functions.names import listed
 from attestor.operators import mentions as ops
 from attestor.plans import sql_parts as sql
-from attestor.plans.lines_queries import DDL_SCRIPT
 from attestor.plans.registry import query
 
 # every line of the script view is one statement, so position and line order agree

@@ -8,7 +8,7 @@ from attestor.operators import compatibility, features, lines, report as ops, ru
 from attestor.operators import constraints as con
 from attestor.operators import metrics as met
 from attestor.plans import sql_parts as sql
-from attestor.plans.lines_queries import LINT, LINT_DOCS
+from attestor.plans.lines_queries import LINT
 from attestor.plans.metrics_queries import (KINDS, NAMED, all_warnings, change_log, dropped_features,
                                             metrics, rounded)
 from attestor.plans.reconcile_queries import silent
