@@ -19,11 +19,11 @@ from attestor.llm.common import per_row, prepared, stored, texts
 
 TRAINING_ROWS = 8192  # at most so many documents train the scorer
 DIMENSIONS = 1024
-THRESHOLD = 0.5  # of the probability to be good
+THRESHOLD = 0.3  # a document less likely to be good is rejected
 ROUNDS, STEPS, PENALTY = 60, 400, 1e-4
 
 GOOD, BAD, NONE = 1, 2, 0
-LABELLERS = ("symbols", "shouting", "exclaiming", "repeats", "neighbours", "pipes", "casing", "lines")
+LABELLERS = ("symbols", "marks", "pipes", "shouting", "exclaiming", "repeats", "neighbours", "prose", "variety")
 
 # the class of each byte: lower case and non-ASCII letters, upper case, digits; all else is itself
 _CLASS = np.arange(256)
@@ -51,14 +51,16 @@ def measured(text: str) -> dict[str, float]:
 
 
 def votes(m: dict[str, float]) -> list[int]:
-    """One vote per labeller."""
-    def vote(value, bad, good):
-        return BAD if value > bad else GOOD if value < good else NONE
+    """One vote per labeller. Most know one fault and say nothing where they do not see it."""
     if not m:
         return [NONE] * len(LABELLERS)
-    return [vote(m["symbols"], 0.2, 0.02), vote(m["shouting"], 0.3, 0.02), vote(m["exclaiming"], 0.15, -1),
-            vote(m["repeats"], 0.5, 0.1), vote(m["neighbours"], 0.25, 0.03), vote(m["pipes"], 0.12, -1),
-            vote(1 - m["casing"], 0.6, 0.4), vote(m["lines"], 0.5, -1)]
+    def bad(fault):
+        return BAD if fault else NONE
+    prose = m["symbols"] < 0.03 and m["pipes"] < 0.03 and m["casing"] > 0.5 and m["exclaiming"] < 0.05
+    varied = m["repeats"] < 0.15 and m["neighbours"] < 0.1 and m["lines"] < 0.3
+    return [bad(m["symbols"] > 0.2), bad(m["symbols"] + m["pipes"] > 0.12), bad(m["pipes"] > 0.1),
+            bad(m["shouting"] > 0.3), bad(m["exclaiming"] > 0.15), bad(m["repeats"] > 0.5), bad(m["neighbours"] > 0.25),
+            GOOD if prose else bad(m["casing"] < 0.35), GOOD if varied else bad(m["lines"] > 0.5)]
 
 
 def pattern(text: str) -> int:
