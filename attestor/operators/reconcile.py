@@ -12,16 +12,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from attestor import fixed, scale
-from attestor.session import written
 from attestor.sources.catalog import Catalog
 
 TABLE = ["schema_id", "table_name"]
 LOSS = ["schema_id", "type", "severity", "table_name", "detail", "lost_count", "description"]
 
-# up to this many warnings of a schema travel together in one array
-MESSAGES_TOGETHER = 200
-
-
 def _losses(df: DataFrame, kind: str, severity: str | Column, description: Column,
             detail: Column | None = None, lost: Column | None = None) -> DataFrame:
     return df.select(
@@ -95,83 +90,71 @@ def missing_columns(a: DataFrame, b: DataFrame, tables: DataFrame) -> DataFrame:
                    detail=F.col("column_name"))
 
 
-def _substrings(text: Column, lengths: Column) -> Column:
-    """All distinct parts of a text that have one of the given lengths."""
-    possible = F.filter(lengths, lambda n: (n > 0) & (n <= F.length(text)))
-    return F.array_distinct(F.flatten(F.transform(possible, lambda n: F.transform(
-        F.sequence(F.lit(1), F.length(text) - n + 1), lambda at: F.substring(text, at, n)))))
-
-
-def mark_documented(losses: DataFrame, warnings: DataFrame,
-                    together: int = MESSAGES_TOGETHER) -> DataFrame:
-    """Mark the losses that a warning of the same schema names.
-
-    A warning documents a loss if its message contains the table name and, where there is
-    one, the other table, the column, or in upper case the constraint kind. Hidden cascades
-    are never documented by a warning.
-
-    Schemas with few warnings, at most ``together``, carry them as an array next to each
-    loss. A small job first looks whether any schema has more. There, comparing every loss
-    with every message would grow with their product, so each message is cut into its parts
-    of the lengths that lost names have, and the parts are joined to the names by equality;
-    that work grows with the messages.
-    """
-    messages = warnings.filter("message IS NOT NULL").select("schema_id", "message")
-    many = (messages.groupBy("schema_id").agg(F.count("*").alias("_n"))
-            .filter(F.col("_n") > together).select("schema_id"))
-    if many.isEmpty():
-        return _marked_by_messages(losses, messages)
-    losses = written(losses, "losses")
-    return _marked_by_messages(
-        losses.join(many, "schema_id", "left_anti"),
-        messages.join(many, "schema_id", "left_anti"),
-    ).unionByName(_marked_by_parts(
-        losses.join(many, "schema_id", "left_semi"),
-        messages.join(many, "schema_id", "left_semi").distinct()))
-
-
 _IS_KIND = "type = 'MISSING_CONSTRAINT'"
 _IS_CASCADE = "type = 'INVISIBLE_CASCADE'"
 
 
-def _marked_by_messages(losses: DataFrame, messages: DataFrame) -> DataFrame:
-    def names_it(m: Column) -> Column:
-        detail = (F.when(F.expr(_IS_KIND), F.contains(F.upper(m), F.upper("detail")))
-                  .otherwise(F.contains(m, F.col("detail"))))
-        return F.contains(m, F.col("table_name")) & detail
+def mentions(messages: DataFrame, names: DataFrame, whole_word: bool = False) -> DataFrame:
+    """(schema_id, message_id, name): which messages contain which names of their schema.
 
-    together = messages.groupBy("schema_id").agg(F.collect_set("message").alias("_messages"))
-    documented = F.coalesce(F.exists("_messages", names_it), F.lit(False)) & ~F.expr(_IS_CASCADE)
-    return (losses.join(together, "schema_id", "left")
-            .select(*LOSS, documented.alias("is_documented")))
+    The anchor of a name is its longest beginning whose length is a power of two. A message is
+    cut into its parts of the anchor lengths that its schema has, a handful; parts meet anchors
+    by equality, and the message decides whether the whole name stands there. An empty name
+    stands in every message, and as a whole word in none.
+    """
+    size = F.length("name")
+    anchored = names.filter("name <> ''").distinct().withColumn(
+        "_anchor", F.expr("substring(name, 1, shiftleft(1, cast(floor(log2(length(name))) as int)))"))
+    lengths = anchored.groupBy("schema_id").agg(F.collect_set(F.length("_anchor")).alias("_lengths"))
+    parts = F.array_distinct(F.flatten(F.transform(
+        F.filter("_lengths", lambda n: n <= F.length("message")),
+        lambda n: F.transform(F.sequence(F.lit(1), F.length("message") - n + 1), lambda at: F.substring(F.col("message"), at, n)))))
+    found = (messages.join(lengths, "schema_id").select("schema_id", "message_id", "message", F.explode(parts).alias("_anchor"))
+             .join(anchored, ["schema_id", "_anchor"]))
+    if whole_word:
+        quoted = F.concat(F.lit(r"(^|[^\p{L}\p{N}_])\Q"), "name", F.lit(r"\E($|[^\p{L}\p{N}_])"))
+        return found.filter(F.rlike("message", quoted)).select("schema_id", "message_id", "name")
+    empty = messages.join(names.filter("name = ''").select("schema_id").distinct(), "schema_id", "left_semi")
+    return (found.filter((size == F.length("_anchor")) | F.contains("message", F.col("name"))).select("schema_id", "message_id", "name")
+            .unionByName(empty.select("schema_id", "message_id", F.lit("").alias("name"))))
+
+
+def mark_documented(losses: DataFrame, warnings: DataFrame, whole_word: bool = False) -> DataFrame:
+    """Mark the losses that a warning of the same schema names.
 
+    A warning documents a loss if its message contains the table name and, where there is
+    one, the other table, the column, or in upper case the constraint kind; with ``whole_word``
+    names count only between characters that cannot belong to a name. Hidden cascades are never
+    documented by a warning. Null names are never found.
 
-def _marked_by_parts(losses: DataFrame, messages: DataFrame) -> DataFrame:
-    how = (F.when(F.expr(_IS_CASCADE), "never").when(F.expr(_IS_KIND), "kind")
-           .when(F.col("detail") == "", "table").otherwise("name"))
+    Names and messages meet through anchors, see ``mentions``, and a table and a detail are
+    matched on the message, so losses are never compared with all messages. There is one way
+    for few and for many warnings, and no job runs while the plan is built.
+    """
+    messages = (warnings.filter("message IS NOT NULL").select("schema_id", "message").distinct()
+                .withColumn("message_id", F.md5("message")))
+    how = F.when(F.expr(_IS_KIND), "kind").when(F.col("detail") == "", "table").otherwise("name")
     keyed = losses.withColumn("_how", how)
-    open_losses = keyed.filter("_how <> 'never'")
-    lengths = open_losses.groupBy("schema_id").agg(
-        F.collect_set(F.length("table_name")).alias("_table_lengths"),
-        F.collect_set(F.when(F.col("_how") == "name", F.length("detail"))).alias("_detail_lengths"))
-    mentions = (messages.join(lengths, "schema_id")
-                .withColumn("table_name", F.explode(_substrings(F.col("message"), F.col("_table_lengths"))))
-                .join(open_losses.select(*TABLE).distinct(), TABLE, "left_semi"))
+    open_losses = keyed.filter(f"NOT {_IS_CASCADE}").select(*TABLE, "_how", "detail").distinct()
+    names = (open_losses.select("schema_id", F.col("table_name").alias("name"))
+             .unionByName(open_losses.filter("_how = 'name'").select("schema_id", F.col("detail").alias("name"))))
+    found = mentions(messages, names, whole_word)
+    of_table = found.withColumnRenamed("name", "table_name")
     kinds = scale.rules(*[(F.contains(F.upper("message"), F.lit(k.upper())), F.lit(k))
                           for k in fixed.CONSTRAINT_KINDS.values()])
-    documented = reduce(DataFrame.unionByName, [
-        mentions.select(*TABLE, F.lit("table").alias("_how"), F.lit("").alias("detail")),
-        mentions.select(*TABLE, F.lit("kind").alias("_how"), F.explode(kinds).alias("detail")),
-        mentions.select(*TABLE, F.lit("name").alias("_how"),
-                        F.explode(_substrings(F.col("message"), F.col("_detail_lengths"))).alias("detail")),
-    ]).distinct().withColumn("_found", F.lit(True))
+    of_detail = (found.select("schema_id", "message_id", F.lit("name").alias("_how"), F.col("name").alias("detail"))
+                 .unionByName(messages.select("schema_id", "message_id", F.lit("kind").alias("_how"), F.explode(kinds).alias("detail"))))
+    alone = (open_losses.filter("_how = 'table'").join(of_table, TABLE, "left_semi"))
+    paired = (open_losses.filter("_how <> 'table'").join(of_detail, ["schema_id", "_how", "detail"])
+              .join(of_table, [*TABLE, "message_id"], "left_semi").select(*open_losses.columns))
+    documented = alone.unionByName(paired).distinct().withColumn("_found", F.lit(True))
     return (keyed.join(documented, [*TABLE, "_how", "detail"], "left")
-            .select(*LOSS, F.col("_found").isNotNull().alias("is_documented")))
+            .select(*LOSS, (F.col("_found").isNotNull() & ~F.expr(_IS_CASCADE)).alias("is_documented")))
 
 
-def silent_only(losses: DataFrame, warnings: DataFrame, together: int = MESSAGES_TOGETHER) -> DataFrame:
+def silent_only(losses: DataFrame, warnings: DataFrame, whole_word: bool = False) -> DataFrame:
     """The losses that no warning names."""
-    return mark_documented(losses, warnings, together).filter("NOT is_documented").select(*LOSS)
+    return mark_documented(losses, warnings, whole_word).filter("NOT is_documented").select(*LOSS)
 
 
 def silent_failures(a: Catalog, b: Catalog, warnings: DataFrame) -> DataFrame:
@@ -206,18 +189,19 @@ def reconcile_rows(a: DataFrame, b: DataFrame, keys: list[str]) -> DataFrame:
     values themselves are not shuffled, and repeated keys combine before the shuffle.
     """
     rest = [c for c in a.columns if c not in keys]
-    row = F.xxhash64(*rest) if rest else F.lit(0).cast("long")
+    # the hash skips nulls, so each value goes in with a flag; two seeds give 128 bits
+    flagged = [x for c in rest for x in (F.col(c), F.isnull(c))]
+    hashes = {f"_h{seed}": F.xxhash64(F.lit(seed), *flagged) for seed in (1, 2)}
 
     def side(df, in_a: int):
-        return df.select(*keys, row.alias("_h"), F.lit(in_a).alias("_a"), F.lit(1 - in_a).alias("_b"))
+        return df.select(*keys, *[h.alias(n) for n, h in hashes.items()], F.lit(in_a).alias("_a"), F.lit(1 - in_a).alias("_b"))
 
-    low = F.col("_h").bitwiseAND(0x7FFFFFFF)
     sign = F.col("_a") - F.col("_b")
-    grouped = side(a, 1).unionByName(side(b, 0)).groupBy(*keys).agg(
-        F.sum("_a").alias("_na"), F.sum("_b").alias("_nb"),
-        F.sum(low * sign).alias("_sum"), F.bit_xor("_h").alias("_xor"))
+    compared = [x for n in hashes for x in (F.sum(F.col(n).bitwiseAND(0x7FFFFFFF) * sign).alias(f"{n}_sum"), F.bit_xor(n).alias(f"{n}_xor"))]
+    grouped = side(a, 1).unionByName(side(b, 0)).groupBy(*keys).agg(F.sum("_a").alias("_na"), F.sum("_b").alias("_nb"), *compared)
+    differs = F.greatest(*[F.abs(F.sign(f"{n}_{x}")) for n in hashes for x in ("sum", "xor")]) != 0
     status = (F.when(F.col("_nb") == 0, "lost").when(F.col("_na") == 0, "added")
-              .when((F.col("_na") != F.col("_nb")) | (F.col("_sum") != 0) | (F.col("_xor") != 0), "changed"))
+              .when((F.col("_na") != F.col("_nb")) | differs, "changed"))
     return (grouped.select(*keys, status.alias("status"), F.col("_na").alias("n_before"),
                            F.col("_nb").alias("n_after")).filter("status IS NOT NULL"))
 

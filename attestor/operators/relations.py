@@ -14,37 +14,42 @@ TABLE = ["schema_id", "table_name"]
 
 
 def _endpoints(relationships: DataFrame, side: str) -> DataFrame:
-    """One row per column of an endpoint, and one with an empty column for its table."""
-    names = F.concat(F.array(F.lit("")), F.col(f"{side}_columns"))
-    return relationships.select(*SIGNATURE, F.lit(side).alias("_side"),
-                                F.col(f"{side}_table").alias("table_name"),
-                                F.explode(names).alias("column_name"))
+    """One row per column of an endpoint, and one without a column for its table."""
+    def end(is_table: bool, name: Column) -> Column:
+        return F.struct(F.lit(is_table).alias("_is_table"), name.alias("column_name"))
+
+    columns = F.transform(F.coalesce(f"{side}_columns", F.array().cast("array<string>")), lambda c: end(False, c))
+    return relationships.select(*SIGNATURE, F.lit(side).alias("_side"), F.col(f"{side}_table").alias("table_name"),
+                                F.inline(F.concat(F.array(end(True, F.lit(""))), columns)))
 
 
 def validate_relationships(relationships: DataFrame, tables: DataFrame, columns: DataFrame) -> DataFrame:
     """Add ``skip_type``: the first of five checks that fails, or null.
 
     Each distinct relationship is checked once. Its tables and columns become rows that are
-    matched with the catalog by equality, so no list of columns is built per table.
+    matched with the catalog by equality, so no list of columns is built per table. A null
+    table is a missing one, a null list or a null in a list a missing column.
     """
-    known = (columns.select(*TABLE, "column_name")
-             .unionByName(tables.select(*TABLE, F.lit("").alias("column_name"))).distinct()
+    known = (columns.select(*TABLE, F.lit(False).alias("_is_table"), "column_name")
+             .unionByName(tables.select(*TABLE, F.lit(True).alias("_is_table"), F.lit("").alias("column_name"))).distinct()
              .withColumn("_known", F.lit(True)))
     distinct = relationships.select(*SIGNATURE).distinct()
     ends = _endpoints(distinct, "source").unionByName(_endpoints(distinct, "target"))
     missing = F.col("_known").isNull()
 
     def lacks(side: str, table: bool) -> Column:
-        of_table = F.col("column_name") == ""
-        return F.bool_or(missing & (F.col("_side") == side) & (of_table if table else ~of_table))
+        return F.bool_or(missing & (F.col("_side") == side) & (F.col("_is_table") == table))
 
-    found = (ends.join(known, [*TABLE, "column_name"], "left").groupBy(*SIGNATURE).agg(
+    found = (ends.join(known, [*TABLE, "_is_table", "column_name"], "left").groupBy(*SIGNATURE).agg(
         lacks("source", True).alias("_st"), lacks("target", True).alias("_tt"),
         lacks("source", False).alias("_sc"), lacks("target", False).alias("_tc")))
     skip = (F.when(F.col("_st"), "MISSING_SOURCE_TABLE").when(F.col("_tt"), "MISSING_TARGET_TABLE")
-            .when(F.col("_sc"), "MISSING_SOURCE_COLUMNS").when(F.col("_tc"), "MISSING_TARGET_COLUMNS")
+            .when(F.col("_sc") | F.isnull("source_columns"), "MISSING_SOURCE_COLUMNS")
+            .when(F.col("_tc") | F.isnull("target_columns"), "MISSING_TARGET_COLUMNS")
             .when(F.size("source_columns") != F.size("target_columns"), "COLUMN_COUNT_MISMATCH"))
-    return relationships.join(found.select(*SIGNATURE, skip.alias("skip_type")), SIGNATURE)
+    verdicts = found.select(*[F.col(c).alias(f"_{c}") for c in SIGNATURE], skip.alias("skip_type"))
+    same = reduce(Column.__and__, [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in SIGNATURE])
+    return relationships.join(verdicts, same).drop(*[f"_{c}" for c in SIGNATURE])
 
 
 def unique_keys(columns: DataFrame, constraints: DataFrame) -> DataFrame:

@@ -77,11 +77,14 @@ def rec_report(i):
     CAST(CASE WHEN o_orderkey < 0 THEN 0 ELSE 1 END AS BIGINT) AS n_before,
     CAST(CASE WHEN o_orderkey >= 0 AND o_orderkey % 50 = 7 THEN 0 ELSE 1 END AS BIGINT) AS n_after
   FROM (SELECT o_orderkey FROM orders WHERE o_orderkey % 50 = 7 OR o_orderkey % 41 = 3
+      OR o_orderkey % 59 = 4
     UNION ALL SELECT -1 - o_orderkey FROM orders WHERE o_orderkey % 97 = 0) x""")
 def rec_rows(i):
-    a = i.table("orders")
+    # in one row of 59 a null changes places with a value
+    swapped = F.when(F.col("o_orderkey") % 59 != 4, "v")
+    a = i.table("orders").withColumns({"_left": F.lit("v"), "_right": swapped})
     price = F.when(F.col("o_orderkey") % 41 == 3, F.col("o_totalprice") + 1).otherwise(F.col("o_totalprice"))
-    b = (a.filter("o_orderkey % 50 <> 7").withColumn("o_totalprice", price)
+    b = (a.filter("o_orderkey % 50 <> 7").withColumns({"o_totalprice": price, "_left": swapped, "_right": F.lit("v")})
          .unionByName(a.filter("o_orderkey % 97 = 0").withColumn("o_orderkey", -1 - F.col("o_orderkey"))))
     return ops.reconcile_rows(a, b, ["o_orderkey"])
 
