@@ -32,6 +32,10 @@ MULTI_WORD_ALIASES = [
 # words before which the whitespace pass breaks the line
 STATEMENT_WORDS = ["CREATE", "ALTER", "DROP", "INSERT", "UPDATE", "DELETE"]
 
+# what a reference may do
+REFERENCE_ACTIONS = ["CASCADE", "RESTRICT", "SET NULL", "SET DEFAULT", "NO ACTION"]
+
+REMOVED_PREVIEW, FAILED_PREVIEW = 100, 200
 MAX_SCRIPT_BYTES = 50 * 1024 * 1024
 
 # --- fixed values: types --------------------------------------------------------------------

@@ -61,11 +61,12 @@ def line_map(kept: DataFrame, width: int = scale.BLOCK) -> DataFrame:
 
 
 def removal_log(classified: DataFrame) -> DataFrame:
-    """Each removed line with its start and the reason."""
+    """Each removed line as a whole, with a preview of 100 characters and the reason."""
     reasons = scale.dimension(classified, fixed.REMOVAL_REASONS, ["statement_type", "reason"])
     return (classified.filter(F.col("statement_type").isNotNull()).join(reasons, "statement_type")
             .select("script_id", "line_no", "statement_type",
-                    F.substring(strip(F.col("line")), 1, 100).alias("content"), "reason"))
+                    strip(F.col("line")).alias("content"),
+                    F.substring(strip(F.col("line")), 1, fixed.REMOVED_PREVIEW).alias("preview"), "reason"))
 
 
 def removal_report(log: DataFrame) -> DataFrame:

@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from attestor import scale
+from attestor.operators import mentions
 from attestor.session import configure, written
 from attestor.sources.catalog import Catalog
 
@@ -243,6 +244,14 @@ class Inputs:
         text = re.sub(rf"\b(FROM|JOIN) ({known})\b", r"\1 {\2}", sql.replace("{", "{{").replace("}", "}}"))
         return self.spark.sql(text, **inputs)
 
+    def statements(self) -> DataFrame:
+        """The statements of the script lines of f_ddl; written once, as they feed many queries."""
+        key = (self.spark.sparkContext.applicationId, self.dir, "statements")
+        if key not in _written:
+            lines = self.table("f_ddl")
+            _written[key] = written(mentions.statements(lines), "statements")
+        return _written[key]
+
     def scripts(self, view: str = "f_ddl") -> DataFrame:
         """The lines of a view joined to one text per script."""
         lines = self.table(view)

@@ -58,13 +58,42 @@ def test_repair_looks_ahead_without_taking_the_next_character(spark):
     assert found.fixes == ["TABLE_SETTINGS_SPACING", "NEGATIVE_DEFAULTS", "ARRAY_TYPE_QUOTING", "BRACKET_LINE_BREAKS"]
 
 
+def statements(spark, *texts):
+    rows = [(n, i, line) for n, t in enumerate(texts) for i, line in enumerate(t.split("\n"))]
+    return mentions.statements(spark.createDataFrame(rows, "script_id long, line_no long, line string"))
+
+
 def test_table_mentions(spark):
-    sql = 'CREATE TABLE IF NOT EXISTS public.a (x int);\ncreate table "b""c" (y int); CREATE TABLE a (z int);'
-    df = spark.createDataFrame([(1, sql)], "script_id long, sql string")
-    found = mentions.extract_tables(df)
-    assert [r.table_name for r in found.orderBy("pos").collect()] == ["a", 'b"c', "a"]
+    found = mentions.extract_tables(statements(
+        spark, 'CREATE TABLE IF NOT EXISTS public.a (x int);\ncreate table "b""c" (y int); CREATE TABLE a (z int);\nCREATE TABLE public."Order" (\n n int\n);'))
+    assert [r.table_name for r in found.orderBy("pos").collect()] == ["a", 'b"c', "a", "Order"]
     first = {r.table_name: r.pos for r in mentions.first_definition(found).collect()}
-    assert first == {"a": 0, 'b"c': 1}
+    assert first == {"a": 0, 'b"c': 1, "Order": 3}
+
+
+def test_statements_end_outside_quotes(spark):
+    text = ("a 'x;y' b; ;c\nd 'it''s;\nstill; in' e;\nf $$ body; 'open\n more; $$ g; h 'q;' i\n;last")
+    found = statements(spark, text, "", "one;two").orderBy("script_id", "pos").collect()
+    assert [(r.script_id, r.pos, r.statement) for r in found] == [
+        (0, 0, "a 'x;y' b"), (0, 2, "c\nd 'it''s;\nstill; in' e"), (0, 3, "f $$ body; 'open\n more; $$ g"), (0, 4, "h 'q;' i"), (0, 5, "last"),
+        (2, 0, "one"), (2, 1, "two")]
+
+
+def test_every_clause_and_nested_expressions(spark):
+    s = statements(spark, """CREATE INDEX "I x" ON public."Order" USING GIN (lower(a), b DESC, coalesce(f(c), d));
+ALTER TABLE ONLY public."Order" ADD COLUMN p numeric(10,2) DEFAULT 1, ADD COLUMN q text;
+ALTER TABLE t ADD CONSTRAINT k UNIQUE (a, b), ADD CONSTRAINT "F" FOREIGN KEY (a) REFERENCES public."Order" ("Id") ON DELETE SET NULL;
+CREATE TYPE m AS ENUM ('a)', 'it''s'); CREATE TYPE n AS ENUM (none); CREATE INDEX broken (a)""")
+    index = mentions.extract_indexes(s).first()
+    assert (index.index_name, index.table_name, index.columns, index.index_method) == ("I x", "Order", ["lower(a)", "b DESC", "coalesce(f(c), d)"], "gin")
+    assert [(r.table_name, r.column_name, r.data_type) for r in mentions.added_columns(s).orderBy("clause_no").collect()] == [
+        ("Order", "p", "numeric(10,2)"), ("Order", "q", "text")]
+    assert [(r.constraint_name, r.constraint_type, r.columns) for r in mentions.added_constraints(s).orderBy("constraint_type").collect()] == [
+        ("F", "f", ["a"]), ("k", "u", ["a", "b"])]
+    key = mentions.extract_fks(mentions.added_constraints(s)).first()
+    assert (key.target_table, key.target_columns, key.on_delete, key.on_update) == ("Order", ["Id"], "SET NULL", None)
+    assert [r["values"] for r in mentions.extract_enums(s).collect()] == [["a)", "it's"]]
+    assert sorted(r.context for r in mentions.extract_errors(s).collect()) == ["CREATE ENUM parsing failed", "CREATE INDEX parsing failed"]
 
 
 def test_column_attributes(spark):
