@@ -18,11 +18,10 @@ def events(i):
 @query("str_dpmo", f"""
   SELECT window_start, n_rows, n_defects, round(dpmo, 6) AS dpmo, round({sigma_sql('dpmo')}, 6) AS sigma_level FROM (
     SELECT time_bucket(INTERVAL 1 HOUR, ts) AS window_start, count(*) AS n_rows, count(*) FILTER (event_type = 'error') AS n_defects,
-      count(*) FILTER (event_type = 'error') / count(*) * 1000000 AS dpmo FROM events GROUP BY 1) x
-  WHERE window_start + INTERVAL 1 HOUR <= (SELECT date_trunc('milliseconds', max(ts)) FROM events) - INTERVAL 10 MINUTE""")
+      count(*) FILTER (event_type = 'error') / count(*) * 1000000 AS dpmo FROM events GROUP BY 1) x""")
 def str_dpmo(i):
     windows = ops.stream_quality(events(i), F.col("event_type") == "error")
-    return rounded(ops.run_available(windows, "windows")).withColumn(
+    return rounded(ops.run_updates(windows, ["window_start"], "windows")).withColumn(
         "window_start", F.col("window_start").cast("timestamp_ntz"))
 
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from attestor import scale
 from attestor.functions import quality
@@ -54,14 +55,41 @@ def quarantined_rows(validated: DataFrame) -> DataFrame:
     return validated.filter(F.size("broken") > 0)
 
 
-def stream_first(events: DataFrame, keys: list[str], time: str = "ts", delay: str = "10 minutes") -> DataFrame:
+def stream_first(events: DataFrame, keys: list[str], time: str = "ts", delay: str = "10 minutes",
+                 salts: int = 8) -> DataFrame:
     """The first arrival of each key.
 
     State holds a key only while it is inside the watermark, so a copy that comes more than
-    ``delay`` after the first one may pass again. The copies of a busy key stream through one
-    task, which keeps one row of state for them and buffers none.
+    ``delay`` after the first one may pass again; within it the result does not depend on how
+    the rows fall into batches. Rows are dealt by their content over ``salts`` tasks that each
+    keep the first of a key, so at most that many copies of a busy key meet in one task.
     """
-    return events.withWatermark(time, delay).dropDuplicatesWithinWatermark(keys)
+    salt = F.pmod(F.xxhash64(*events.columns), F.lit(salts))
+    spread = events.withColumn("_salt", salt).withWatermark(time, delay).dropDuplicatesWithinWatermark([*keys, "_salt"])
+    return spread.drop("_salt").dropDuplicatesWithinWatermark(keys)
+
+
+def run_updates(stream: DataFrame, keys: list[str], purpose: str) -> DataFrame:
+    """Run a stream over what its source holds now; return the last state of each key.
+
+    Windows that the watermark has not closed when the source ends are there too. Each batch
+    writes the rows it changes to a folder of its own, again if it is repeated, and the latest
+    batch of a key counts.
+    """
+    path = scratch_folder(stream.sparkSession, purpose)
+
+    def keep(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{path}/rows/batch={number}")
+
+    query = (stream.writeStream.foreachBatch(keep).option("checkpointLocation", f"{path}/checkpoint")
+             .outputMode("update").trigger(availableNow=True).start())
+    query.awaitTermination()
+    spark = stream.sparkSession
+    spark.createDataFrame([], stream.schema).write.parquet(f"{path}/rows/batch=-1")
+    rows = spark.read.option("basePath", f"{path}/rows").schema(StructType([*stream.schema.fields, StructField("batch", LongType())])).parquet(f"{path}/rows")
+    rest = [c for c in stream.columns if c not in keys]
+    return (rows.groupBy(*keys).agg(F.max_by(F.struct(*rest), "batch").alias("_last"))
+            .select(*keys, "_last.*").select(*stream.columns))
 
 
 def run_available(stream: DataFrame, purpose: str) -> DataFrame:

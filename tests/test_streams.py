@@ -36,6 +36,19 @@ def test_late_rows_are_dropped(spark, source):
     assert rows == {0: (2, 1, 500000.0), 3: (2, 0, 0.0)}
 
 
+def test_windows_still_open_at_the_end_are_written(spark, source):
+    events = source([(1, "2024-01-01 00:10:00", 1, 1.0)], [(2, "2024-01-01 00:20:00", 1, 9.0)], [(3, "2024-01-01 03:00:00", 1, 1.0)])
+    found = stream.run_updates(stream.stream_quality(events, F.col("value") > 5), ["window_start"], "t")
+    assert {r.window_start.hour: (r.n_rows, r.n_defects) for r in found.collect()} == {0: (2, 1), 3: (1, 0)}
+
+
+def test_first_arrival_does_not_depend_on_batches(spark, source):
+    rows = [(n, f"2024-01-01 00:0{n % 10}:00", n % 3, float(n)) for n in range(30)]
+    events = source(rows[:10], rows[10:11], rows[11:])
+    found = stream.run_available(stream.stream_first(events, ["user_id"]), "t")
+    assert sorted(r.user_id for r in found.collect()) == [0, 1, 2]
+
+
 def test_first_arrival_passes_and_state_ends_with_the_watermark(spark, source):
     events = source([(1, "2024-01-01 00:00:00", 1, 1.0), (2, "2024-01-01 00:01:00", 1, 1.0)],
                     [(3, "2024-01-01 00:02:00", 1, 1.0), (4, "2024-01-01 09:00:00", 2, 1.0)],
