@@ -38,6 +38,18 @@ def numbered(df: DataFrame, keys: list[str], order: str, name: str, width: int =
             .drop("_block", "_start"))
 
 
+def running_sum(df: DataFrame, keys: list[str], order: str, value: str, name: str, width: int = BLOCK) -> DataFrame:
+    """The sum of a value over the earlier rows of a key, by an integer column; blocks as in ``numbered``."""
+    blocks = df.withColumn("_block", F.floor(F.col(order) / width))
+    earlier = Window.partitionBy(*keys).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+    starts = (blocks.groupBy(*keys, "_block").agg(F.sum(value).alias("_n"))
+              .select(*keys, "_block", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_before")))
+    inside = Window.partitionBy(*keys, "_block").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    return (blocks.join(starts, [*keys, "_block"])
+            .withColumn(name, F.col("_before") + F.coalesce(F.sum(value).over(inside), F.lit(0)))
+            .drop("_block", "_before"))
+
+
 def previous(df: DataFrame, keys: list[str], order: str, value: str, name: str,
              width: int = BLOCK) -> DataFrame:
     """The value of the row before, per key, by an integer column; blocks as in ``numbered``."""
@@ -46,8 +58,9 @@ def previous(df: DataFrame, keys: list[str], order: str, value: str, name: str,
     carried = (blocks.groupBy(*keys, "_block").agg(F.max_by(value, order).alias("_last"))
                .select(*keys, "_block", F.lag("_last").over(by_block).alias("_carry")))
     inside = Window.partitionBy(*keys, "_block").orderBy(order)
+    # only the first row of a block looks into the block before; a null before any other row is its value
     return (blocks.join(carried, [*keys, "_block"])
-            .withColumn(name, F.coalesce(F.lag(value).over(inside), F.col("_carry")))
+            .withColumn(name, F.when(F.row_number().over(inside) == 1, F.col("_carry")).otherwise(F.lag(value).over(inside)))
             .drop("_block", "_carry"))
 
 

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -29,15 +28,26 @@ def configure(spark: SparkSession) -> SparkSession:
 def scratch_folder(spark: SparkSession, purpose: str) -> str:
     """A new path for written tables and stream checkpoints.
 
-    It lies under ``spark.checkpoint.dir``, the folder all executors share. A machine-local
-    folder is used only where that is unset and the session itself is local.
+    It lies under ``spark.checkpoint.dir``, the folder all executors share, or where that is
+    unset below the warehouse, which they share too. ``clear_scratch`` deletes what a session
+    has written.
     """
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        base = tempfile.mkdtemp(prefix="attestor-")
-    return f"{base.rstrip('/')}/{purpose}-{uuid.uuid4().hex}"
+    base = spark.conf.get("spark.checkpoint.dir", None) or f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/scratch"
+    path = f"{base.rstrip('/')}/{purpose}-{uuid.uuid4().hex}"
+    _scratch.append(path)
+    return path
+
+
+_scratch: list[str] = []
+
+
+def clear_scratch(spark: SparkSession) -> int:
+    """Delete the scratch folders of this process; results that read them must be consumed before."""
+    n = 0
+    while _scratch:
+        path = spark._jvm.org.apache.hadoop.fs.Path(_scratch.pop())
+        n += path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    return n
 
 
 def written(df: DataFrame, purpose: str) -> DataFrame:

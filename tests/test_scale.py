@@ -32,6 +32,20 @@ def test_previous_equals_a_plain_lag(spark):
     assert sorted(plain.collect(), key=key) == sorted(blocked.select(plain.columns).collect(), key=key)
 
 
+def test_a_null_before_is_not_taken_from_the_block_before(spark):
+    df = spark.createDataFrame([(1, 1, "a"), (1, 10, None), (1, 11, "b"), (1, 20, "c")], "k long, o long, v string")
+    found = {r.o: r.p for r in scale.previous(df, ["k"], "o", "v", "p", width=10).collect()}
+    assert found == {1: None, 10: "a", 11: None, 20: "b"}
+
+
+def test_running_sum_equals_a_plain_window(spark):
+    df = rows(spark).withColumn("n", F.length("v"))
+    before = Window.partitionBy("k").orderBy("o").rowsBetween(Window.unboundedPreceding, -1)
+    plain = df.withColumn("s", F.coalesce(F.sum("n").over(before), F.lit(0)))
+    blocked = scale.running_sum(df, ["k"], "o", "n", "s", width=17)
+    assert sorted(plain.collect()) == sorted(blocked.select(plain.columns).collect())
+
+
 def test_first_rows_limits_before_the_shuffle(spark):
     top = scale.first_rows(rows(spark), ["k"], ["o"], 3)
     assert "WindowGroupLimit" in top._jdf.queryExecution().executedPlan().toString()
