@@ -36,7 +36,9 @@ STATEMENT_WORDS = ["CREATE", "ALTER", "DROP", "INSERT", "UPDATE", "DELETE"]
 REFERENCE_ACTIONS = ["CASCADE", "RESTRICT", "SET NULL", "SET DEFAULT", "NO ACTION"]
 
 REMOVED_PREVIEW, FAILED_PREVIEW = 100, 200
+# above this size a script is labelled; nothing is refused
 MAX_SCRIPT_BYTES = 50 * 1024 * 1024
+LINES_PER_PART, TABLES_PER_PART = 10_000, 1000
 
 # --- fixed values: types --------------------------------------------------------------------
 

@@ -76,13 +76,9 @@ def removal_report(log: DataFrame) -> DataFrame:
             .withColumn("statement_type", F.coalesce("statement_type", F.lit("ALL"))))
 
 
-def join_lines(lines: DataFrame, limit: int = fixed.MAX_SCRIPT_BYTES) -> DataFrame:
-    """One row per script with its lines joined in order.
-
-    A script above the size limit is refused, as on reading: it keeps its row with
-    ``is_oversize`` and a null text.
-    """
-    return (scale.assemble(lines, ["script_id"], ["line_no"], "line", "\n", limit)
+def join_lines(lines: DataFrame, per_part: int = fixed.LINES_PER_PART) -> DataFrame:
+    """The lines of each script joined in order, in numbered parts of so many lines."""
+    return (scale.parts(lines, ["script_id"], "line_no", "line", "\n", per_part)
             .withColumnsRenamed({"line": "sql", "n_pieces": "n_lines"}))
 
 

@@ -83,24 +83,28 @@ def first_rows_and_total(df: DataFrame, keys: list[str], order: list[str | Colum
             .withColumn("n_more", F.greatest(F.col("n_total") - n, F.lit(0))))
 
 
-def assemble(pieces: DataFrame, keys: list[str], order: list[str], text: str, separator: str,
-             limit: int = fixed.MAX_SCRIPT_BYTES) -> DataFrame:
-    """Join the pieces of each key in order into one text, up to the script size limit.
+def assemble(pieces: DataFrame, keys: list[str], order: list[str], text: str, separator: str) -> DataFrame:
+    """Join the pieces of each key in order into one text; the input is read once.
 
-    Sizes are summed first, which combines before the shuffle. A key above ``limit`` keeps
-    its row and its counts but gets a null text and ``is_oversize``; its pieces are never
-    brought together, and stay available as rows.
+    Meant for keys that stand for a unit of bounded size: a table, a statement, or one of the
+    parts into which ``parts`` cuts something larger.
     """
-    size = F.octet_length(text) + len(separator.encode())
-    sizes = pieces.groupBy(*keys).agg(
-        F.count("*").alias("n_pieces"),
-        (F.sum(size) - len(separator.encode())).alias("n_bytes"))
-    fitting = pieces.join(sizes.filter(F.col("n_bytes") <= limit).select(*keys), keys, "left_semi")
     sorted_pieces = F.array_sort(F.collect_list(F.struct(*order, F.col(text).alias("_text"))))
-    texts = fitting.groupBy(*keys).agg(
+    size = F.octet_length(text) + len(separator.encode())
+    return pieces.groupBy(*keys).agg(
+        F.count("*").alias("n_pieces"), (F.sum(size) - len(separator.encode())).alias("n_bytes"),
         F.array_join(F.transform(sorted_pieces, lambda x: x["_text"]), separator).alias(text))
-    return (sizes.join(texts, keys, "left")
-            .select(*keys, "n_pieces", "n_bytes", (F.col("n_bytes") > limit).alias("is_oversize"), text))
+
+
+def parts(pieces: DataFrame, keys: list[str], order: str, text: str, separator: str,
+          per_part: int = fixed.LINES_PER_PART) -> DataFrame:
+    """The pieces of each key as texts of ``per_part`` pieces, numbered from 0; nothing is left out.
+
+    No task holds more than a part, however many pieces a key has.
+    """
+    placed = (numbered(pieces, keys, order, "_n")
+              .withColumn("part_no", F.floor((F.col("_n") - 1) / per_part).cast("int")))
+    return assemble(placed, [*keys, "part_no"], [order], text, separator)
 
 
 def rules(*cases: tuple[Column, Column]) -> Column:

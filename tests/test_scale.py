@@ -59,12 +59,20 @@ def test_first_rows_and_total(spark):
         assert r.n_total == totals[r.k] and r.n_more == max(totals[r.k] - 3, 0)
 
 
-def test_assemble_keeps_order_and_flags_what_is_too_large(spark):
-    df = spark.createDataFrame([(1, n, "x" * 10) for n in range(100)] + [(2, 2, "b"), (2, 1, "a")],
-                               "k long, o long, t string")
-    found = {r.k: r for r in scale.assemble(df, ["k"], ["o"], "t", "\n", limit=500).collect()}
-    assert found[2].t == "a\nb" and not found[2].is_oversize and found[2].n_bytes == 3
-    assert found[1].t is None and found[1].is_oversize and found[1].n_pieces == 100 and found[1].n_bytes == 1099
+def test_assemble_keeps_order(spark):
+    df = spark.createDataFrame([(2, 2, "b"), (2, 1, "a")], "k long, o long, t string")
+    found = scale.assemble(df, ["k"], ["o"], "t", "\n").first()
+    assert (found.t, found.n_pieces, found.n_bytes) == ("a\nb", 2, 3)
+
+
+def test_parts_leave_nothing_out(spark):
+    df = rows(spark)
+    for per_part in (1, 7, 1000):
+        found = scale.parts(df, ["k"], "o", "v", "\n", per_part).orderBy("k", "part_no").collect()
+        assert all(r.n_pieces <= per_part for r in found)
+        for k in {r.k for r in found}:
+            whole = "\n".join(r.v for r in found if r.k == k)
+            assert whole == "\n".join(r.v for r in df.filter(F.col("k") == k).orderBy("o").collect())
 
 
 def test_tally_counts_parts_with_different_columns(spark):
