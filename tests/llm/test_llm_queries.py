@@ -3,6 +3,7 @@
 import duckdb
 import pytest
 
+import attestor.llm.queries  # noqa: F401  registers the queries
 import corpus_pipeline
 from attestor.llm.common import table
 from attestor.llm.registry import ORACLE, QUERIES

@@ -215,8 +215,8 @@ def test_archives_round_trip(spark, tmp_path):
     big = "<p>ü</p>" * 300
     rows = [(1, "http://a/", big), (2, "http://b/\r\nX: y", big), (3, None, "small"), (4, "http://d/", "small"), (5, "http://e/", None),
             (None, "http://f/", big), (7, "http://g/", "a\r\n\r\nWARC/1.1\r\nWARC-Type: response\r\n\r\n" * 50), (8, "http://h/", big + "x"), (2, "http://b2/", big)]
-    pages = spark.createDataFrame(rows, "page_id bigint, url string, html string").withColumnRenamed("url", "url")
-    path = warc.write(warc.resolved(pages), str(tmp_path / "w"), file_bytes=2000)
+    pages = spark.createDataFrame(rows, "page_id bigint, url string, html string")
+    path = warc.write(warc.resolved(pages), str(tmp_path / "w"), per_file=2)
     back = warc.read(spark, path).collect()
     assert len(back) == len(rows)
     payloads = Counter((r.page_id, bytes(r.payload).decode()) for r in back if r.record_type == "response")
