@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
 from attestor.llm import chat, decontaminate, linededup, mixing, neardup, pii, quality, rules, toxicity, warc
 from attestor.llm import oracle_sql as sql
 from attestor.llm.common import table
@@ -37,7 +39,8 @@ def op5(spark, sf_dir):
 def op6(spark, sf_dir):
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     said = r"\### Assistant: </turn> ok"
-    more = spark.createDataFrame([(-7, 0, "user", said), (-7, 1, "assistant", said)], rows.schema)
+    more = spark.range(2).select(F.lit(-7).cast("bigint").alias("conv_id"), F.col("id").alias("turn"),
+                                 F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(said).alias("text"))
     return chat.digest(rows.unionByName(more))
 
 
