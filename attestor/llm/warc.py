@@ -8,16 +8,17 @@ by record by their Content-Length.
 
 from __future__ import annotations
 
-import math
+import gzip
+import hashlib
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from attestor.llm.common import mapped, prepared
+from attestor.llm.common import mapped, prepared, stored
 from attestor.session import scratch_folder
 
 LEAST_BYTES = 1000
-FILE_BYTES = 16 << 20
+FILE_BYTES, MOST_BYTES = 16 << 20, 1 << 30
 
 # fixed values of the format
 VERSION = "WARC/1.1"
@@ -73,14 +74,21 @@ def records(pages: DataFrame) -> DataFrame:
     return pages.select(F.concat(lines, F.lit("\r\n\r\n"), block).alias("record"))
 
 
-def write(pages: DataFrame, path: str, file_bytes: int = FILE_BYTES) -> str:
-    """Write resolved pages as archives of about ``file_bytes`` and return the folder.
+def records_per_file(pages: DataFrame, file_bytes: int = FILE_BYTES) -> int:
+    """How many records make an archive of about ``file_bytes``, and none that cannot be read in one piece."""
+    size = F.octet_length("html") + 600
+    mean, most = pages.agg(F.avg(size), F.max(size)).first()
+    return max(1, int(min(file_bytes / (mean or 600), MOST_BYTES / (most or 600))))
 
-    The text writer puts the two closing line ends of the format after each record.
+
+def write(pages: DataFrame, path: str, per_file: int) -> str:
+    """Write resolved pages as gzip archives of at most ``per_file`` records and return the folder.
+
+    The text writer puts the two closing line ends of the format after each record. Pages go from
+    the join with their revisit headers straight into files.
     """
-    size = pages.agg(F.sum(F.when(F.col("refers_to").isNull(), F.col("n")).otherwise(0) + 600)).first()[0] or 0
-    n = max(1, math.ceil(size / file_bytes))
-    (records(pages).repartition(n, F.xxhash64("record")).write.option("lineSep", "\r\n\r\n").text(path))
+    (records(pages).write.option("lineSep", "\r\n\r\n").option("compression", "gzip")
+     .option("maxRecordsPerFile", per_file).text(path))
     return path
 
 
@@ -106,11 +114,9 @@ def read(spark: SparkSession, path: str) -> DataFrame:
     The digest of a response is computed from the payload as read, that of a revisit is the one
     in its header. A revisit has no payload.
     """
-    import hashlib
-
     def work(rows):
         for (content,) in rows:
-            for h, block in parse(content):
+            for h, block in parse(gzip.decompress(content)):
                 payload = block.partition(b"\r\n\r\n")[2]
                 kind = h["WARC-Type"]
                 digest = hashlib.sha1(payload).hexdigest() if kind == "response" else h["WARC-Payload-Digest"][5:]
@@ -125,9 +131,9 @@ def read(spark: SparkSession, path: str) -> DataFrame:
 def digest(pages: DataFrame) -> DataFrame:
     """Write the pages to archives, read these back and say of each page what its record is."""
     spark = prepared(pages.sparkSession)
-    path = write(resolved(pages), scratch_folder(spark, "llm-warc"))
-    found = read(spark, path).select("record_id", "record_type", "page_id", "digest", "refers_to_id",
-                                     F.octet_length("payload").cast("bigint").alias("n"))
+    path = write(resolved(pages), scratch_folder(spark, "llm-warc"), records_per_file(pages))
+    found = stored(read(spark, path).select("record_id", "record_type", "page_id", "digest", "refers_to_id",
+                                     F.octet_length("payload").cast("bigint").alias("n")), "warc-found")
     revisits, responses = found.filter("record_type = 'revisit'"), found.filter("record_type = 'response'")
     originals = (responses.groupBy(F.col("record_id").alias("refers_to_id"))
                  .agg(F.first("page_id").alias("refers_to"), F.first("n").alias("n")))
