@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from attestor.llm import decontaminate, linededup, mixing, neardup, quality
 from attestor.llm.common import stored, table
 
+NEAR = neardup.Rule(words=5, number=80, part=100)
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
@@ -32,8 +33,8 @@ def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near-duplicates the document with the smallest doc_id stays."""
-    found = neardup.near_duplicates(docs)
+    """Of each group of near-duplicates the document with the smallest doc_id stays; they link at 0.8 of 5 words."""
+    found = neardup.near_duplicates(docs, rule=NEAR)
     return without(docs, found.filter("component_id <> doc_id"))
 
 
