@@ -1,5 +1,7 @@
 """The DuckDB SQL of the queries that SQL can express."""
 
+from attestor.llm import urlfilter
+
 LINE_DEDUP = r"""
 WITH lines AS (
   SELECT doc_id, generate_subscripts(ls, 1) AS k, unnest(ls) AS line
@@ -132,3 +134,76 @@ SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed,
   NOT (n_words < 50 OR 100 * n_repeat_words > 50 * n_words OR 10 * n_symbols > n_words OR 5 * n_dup_lines > n_words
     OR word_chars < 2 * n_words OR word_chars > 15 * n_words) AS kept
 FROM f"""
+
+
+_A_TO_Z = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'"
+_LINK = r"""[\x09-\x0D\x20][hH][rR][eE][fF][\x09-\x0D\x20]*=[\x09-\x0D\x20]*["'']?[\x09-\x0D\x20]*(?:[hH][tT][tT][pP][sS]?:)?//([^/?#"''<>\x09-\x0D\x20]+)"""
+
+
+def _round(i: int) -> str:
+    return f"""
+r{i} AS MATERIALIZED (SELECT side, host, CAST(sum(x) AS BIGINT) AS x FROM (
+  SELECT side, host, x FROM seed
+  UNION ALL SELECT a.side, a.dst, CAST(CAST(x AS HUGEINT) * w * {urlfilter.DAMPING} // (out * 100) AS BIGINT)
+  FROM arcs a JOIN r{i - 1} r ON r.side = a.side AND r.host = a.src) GROUP BY ALL)"""
+
+
+URL_FILTER = rf"""
+WITH cut AS (
+  SELECT page_id, html, CASE WHEN instr(url, '://') > 0 THEN substr(url, instr(url, '://') + 3) ELSE '' END AS rest FROM pages),
+parted AS (SELECT page_id, html, regexp_extract(rest, '^[^/?#]*') AS raw, rest FROM cut),
+p AS (SELECT page_id, html, translate(raw, {_A_TO_Z}) AS host, regexp_extract(substr(rest, length(raw) + 1), '^[^?#]*') AS path FROM parted),
+q AS MATERIALIZED (SELECT *, CASE
+    WHEN (host = 'www.example.com' OR ends_with(host, '.www.example.com')) AND starts_with(path, '/en/') THEN 'www.example.com/en/'
+    WHEN (host = 'example.com' OR ends_with(host, '.example.com')) AND starts_with(path, '/en/') THEN 'example.com/en/'
+    WHEN (host = 'net' OR ends_with(host, '.net')) AND starts_with(path, '/es/') THEN 'net/es/'
+    WHEN (host = 'net' OR ends_with(host, '.net')) AND starts_with(path, '/fr/') THEN 'net/fr/'
+    WHEN (host = 'com' OR ends_with(host, '.com')) AND starts_with(path, '/') THEN 'com/' END AS rule FROM p),
+ruled AS MATERIALIZED (SELECT *, CASE WHEN rule IN ('www.example.com/en/', 'com/') THEN 'allow' WHEN rule IS NOT NULL THEN 'block' END AS verdict FROM q),
+shares AS MATERIALIZED (SELECT host, count(*) FILTER (WHERE verdict = 'allow') * {urlfilter.UNIT} // count(*) AS trust,
+    count(*) FILTER (WHERE verdict = 'block') * {urlfilter.UNIT} // count(*) AS distrust FROM ruled WHERE host <> '' GROUP BY host),
+seed AS MATERIALIZED (SELECT 0 AS side, host, trust AS x FROM shares WHERE trust > 0 UNION ALL SELECT 1, host, distrust FROM shares WHERE distrust > 0),
+links AS (SELECT src, dst, count(*) AS w FROM (
+    SELECT host AS src, unnest(list_distinct(list_transform(regexp_extract_all(html, '{_LINK}', 1), lambda h: translate(h, {_A_TO_Z})))) AS dst
+    FROM ruled WHERE host <> '') WHERE src <> dst GROUP BY ALL),
+hosts AS MATERIALIZED (SELECT host FROM shares UNION SELECT dst FROM links),
+kin AS (SELECT DISTINCT array_to_string(labels[up:], '.') AS low, array_to_string(labels[up + 1:], '.') AS high
+  FROM (SELECT string_split(host, '.') AS labels, unnest(range(1, len(string_split(host, '.')) - 1)) AS up
+        FROM hosts WHERE length(host) BETWEEN 1 AND {urlfilter.LONGEST_HOST})),
+edges AS (SELECT src, dst, sum(w) AS w FROM (SELECT * FROM links UNION ALL SELECT low, high, {urlfilter.KIN} FROM kin
+    UNION ALL SELECT high, low, {urlfilter.KIN} FROM kin) GROUP BY ALL),
+sided AS (SELECT 0 AS side, src, dst, w FROM edges UNION ALL SELECT 1, dst, src, w FROM edges),
+arcs AS MATERIALIZED (SELECT *, sum(w) OVER (PARTITION BY side, src) AS out FROM sided),
+r0 AS (SELECT * FROM seed),{",".join(_round(i) for i in range(1, urlfilter.rounds() + 1))},
+scores AS (SELECT host, CAST(coalesce(sum(x) FILTER (WHERE side = 0), 0) AS BIGINT) AS trust,
+    CAST(coalesce(sum(x) FILTER (WHERE side = 1), 0) AS BIGINT) AS distrust FROM r{urlfilter.rounds()} GROUP BY host)
+SELECT page_id, host, path, rule, coalesce(verdict, CASE WHEN distrust - trust >= {urlfilter.THRESHOLD} THEN 'block' ELSE 'allow' END) AS verdict,
+  coalesce(trust, 0) AS trust, coalesce(distrust, 0) AS distrust
+FROM ruled LEFT JOIN scores USING (host)"""
+
+# crc32 of a text by half bytes; the table holds the remainders of the sixteen half bytes
+_CRC = """xor(list_reduce(flatten(list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda c: [ascii(c) & 15, ascii(c) >> 4])),
+    lambda acc, x: xor(acc >> 4, ([0, 498536548, 997073096, 651767980, 1994146192, 1802195444, 1303535960, 1342533948,
+      3988292384, 4027552580, 3604390888, 3412177804, 2607071920, 2262029012, 2685067896, 3183342108])[CAST(xor(acc, x) & 15 AS BIGINT) + 1]),
+    CAST(4294967295 AS BIGINT)), 4294967295)"""
+
+PERIODIC_RUNS = rf"""
+WITH d AS (SELECT doc_id, {_CRC} AS h, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+g AS (SELECT *, h // 10 AS g, CAST(len(w) AS BIGINT) AS n FROM d),
+a AS (SELECT *, CASE WHEN h % 10 = 0 AND n > 0 THEN g % n END AS a FROM g),
+t AS MATERIALIZED (SELECT doc_id, n, CASE WHEN a IS NULL THEN w ELSE list_transform(range(n), lambda i:
+    CASE WHEN i < a THEN w[i + 1] ELSE w[a + (i - a) % (1 + (n - a) // (3 + g % 8)) + 1] END) END AS w FROM a),
+f AS MATERIALIZED (SELECT doc_id, i, array_to_string(w[i - 3:i + 1], ' ') AS s FROM (SELECT doc_id, w, unnest(range(4, n)) AS i FROM t WHERE n > 5)),
+m AS (SELECT x.doc_id, x.i, x.i - y.i AS q FROM f x JOIN f y ON x.doc_id = y.doc_id AND x.s = y.s AND x.i > y.i),
+island AS (SELECT doc_id, q, min(i) - 4 - q AS start, max(i) + 1 AS stop
+  FROM (SELECT *, i - row_number() OVER (PARTITION BY doc_id, q ORDER BY i) AS k FROM m) GROUP BY doc_id, q, k),
+runs AS MATERIALIZED (SELECT doc_id, start, stop - start AS length, min(q) AS period FROM island
+  WHERE stop - start >= greatest(6, 4 * q) GROUP BY ALL),
+best AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY CAST(length AS DOUBLE) / period DESC, start, period) AS k FROM runs) WHERE k = 1),
+listed AS (SELECT doc_id, count(*) AS n_runs, string_agg(start || ',' || length || ',' || period || chr(10), '' ORDER BY start, period) AS l FROM runs GROUP BY doc_id),
+gone AS (SELECT DISTINCT doc_id, unnest(range(start + period, start + length)) AS i FROM runs),
+kept AS (SELECT doc_id, string_agg(word, ' ' ORDER BY i) AS l
+  FROM (SELECT doc_id, unnest(range(n)) AS i, unnest(w) AS word FROM t) ANTI JOIN gone USING (doc_id, i) GROUP BY doc_id)
+SELECT t.doc_id, coalesce(n_runs, 0) AS n_runs, start, length, period, 1000 * length // period AS exponent_milli,
+  sha256(coalesce(listed.l, '')) AS runs_sha256, sha256(coalesce(kept.l, '')) AS collapsed_sha256
+FROM t LEFT JOIN listed USING (doc_id) LEFT JOIN best USING (doc_id) LEFT JOIN kept USING (doc_id)"""

@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from attestor.llm import chat, decontaminate, linededup, mixing, neardup, pii, quality, rules, toxicity, warc
+from attestor.llm import (chat, decontaminate, linededup, mixing, neardup, periodic, pii, quality, rules, toxicity,
+                          urlfilter, warc, whitening)
 from attestor.llm import oracle_sql as sql
 from attestor.llm.common import table
 from attestor.llm.registry import query
@@ -63,3 +64,18 @@ def op9(spark, sf_dir):
 @query("op10_rules", sql.RULES)
 def op10(spark, sf_dir):
     return rules.digest(table(spark, sf_dir, "documents"))
+
+
+@query("op11_url_filter", sql.URL_FILTER)
+def op11(spark, sf_dir):
+    return urlfilter.judged(table(spark, sf_dir, "pages"))
+
+
+@query("op12_periodic_runs", sql.PERIODIC_RUNS)
+def op12(spark, sf_dir):
+    return periodic.digest(table(spark, sf_dir, "documents"))
+
+
+@query("op13_whitening")
+def op13(spark, sf_dir):
+    return whitening.whitened(table(spark, sf_dir, "embeddings"))
