@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from attestor import fixed, scale
+from attestor.session import written
 from attestor.sources.catalog import Catalog
 
 TABLE = ["schema_id", "table_name"]
@@ -97,26 +98,38 @@ _IS_CASCADE = "type = 'INVISIBLE_CASCADE'"
 def mentions(messages: DataFrame, names: DataFrame, whole_word: bool = False) -> DataFrame:
     """(schema_id, message_id, name): which messages contain which names of their schema.
 
-    The anchor of a name is its longest beginning whose length is a power of two. A message is
-    cut into its parts of the anchor lengths that its schema has, a handful; parts meet anchors
-    by equality, and the message decides whether the whole name stands there. An empty name
-    stands in every message, and as a whole word in none.
+    A dictionary by (anchor, length): the anchor of a name is its longest beginning whose length is
+    a power of two, and behind each anchor stand the few lengths of the names that begin with it.
+    The places of a message meet anchors by equality, without the text; the lengths behind them say
+    which whole substrings to take, and these meet the names by equality. So however many names
+    share a beginning, a message never meets one that it does not contain. An empty name stands in
+    every message, and as a whole word in none.
     """
-    size = F.length("name")
-    anchored = names.filter("name <> ''").distinct().withColumn(
-        "_anchor", F.expr("substring(name, 1, shiftleft(1, cast(floor(log2(length(name))) as int)))"))
-    lengths = anchored.groupBy("schema_id").agg(F.collect_set(F.length("_anchor")).alias("_lengths"))
-    parts = F.array_distinct(F.flatten(F.transform(
-        F.filter("_lengths", lambda n: n <= F.length("message")),
-        lambda n: F.transform(F.sequence(F.lit(1), F.length("message") - n + 1), lambda at: F.substring(F.col("message"), at, n)))))
-    found = (messages.join(lengths, "schema_id").select("schema_id", "message_id", "message", F.explode(parts).alias("_anchor"))
-             .join(anchored, ["schema_id", "_anchor"]))
+    messages = messages.select("schema_id", "message_id", "message")
+    known = names.select("schema_id", "name").filter("name <> ''").distinct()
+    anchor = F.expr("substring(name, 1, shiftleft(1, cast(floor(log2(length(name))) as int)))")
+    heads = (known.select("schema_id", anchor.alias("_anchor"), F.length("name").alias("_length"))
+             .groupBy("schema_id", "_anchor").agg(F.collect_set("_length").alias("_lengths")))
+    sizes = heads.groupBy("schema_id").agg(F.collect_set(F.length("_anchor")).alias("_sizes"))
+    places = F.flatten(F.transform(
+        F.filter("_sizes", lambda n: n <= F.length("message")),
+        lambda n: F.transform(F.sequence(F.lit(1), F.length("message") - n + 1),
+                              lambda at: F.struct(at.alias("_at"), F.substring(F.col("message"), at, n).alias("_anchor")))))
+    met = (messages.join(sizes, "schema_id").select("schema_id", "message_id", F.explode(places).alias("_p"))
+           .select("schema_id", "message_id", "_p._at", "_p._anchor").join(heads, ["schema_id", "_anchor"])
+           .groupBy("schema_id", "message_id").agg(F.collect_list(F.struct("_at", "_lengths")).alias("_met")))
+    # a name stands whole where neither neighbour can belong to a name
+    free = lambda at: ~F.rlike(F.substring(F.col("message"), at, F.lit(1)), F.lit(r"^[\p{L}\p{N}_]"))
+    last = lambda at, n: at + n - 1 <= F.length("message")
+    fits = (lambda at, n: last(at, n) & ((at == 1) | free(at - 1)) & free(at + n)) if whole_word else last
+    found = F.array_distinct(F.flatten(F.transform("_met", lambda m: F.transform(
+        F.filter(m["_lengths"], lambda n: fits(m["_at"], n)), lambda n: F.substring(F.col("message"), m["_at"], n)))))
+    taken = messages.join(met, ["schema_id", "message_id"]).select("schema_id", "message_id", F.explode(found).alias("name"))
+    matches = taken.join(known, ["schema_id", "name"]).select("schema_id", "message_id", "name")
     if whole_word:
-        quoted = F.concat(F.lit(r"(^|[^\p{L}\p{N}_])\Q"), "name", F.lit(r"\E($|[^\p{L}\p{N}_])"))
-        return found.filter(F.rlike("message", quoted)).select("schema_id", "message_id", "name")
-    empty = messages.join(names.filter("name = ''").select("schema_id").distinct(), "schema_id", "left_semi")
-    return (found.filter((size == F.length("_anchor")) | F.contains("message", F.col("name"))).select("schema_id", "message_id", "name")
-            .unionByName(empty.select("schema_id", "message_id", F.lit("").alias("name"))))
+        return matches
+    empty = names.filter("name = ''").select("schema_id").distinct()
+    return matches.unionByName(messages.join(empty, "schema_id", "left_semi").select("schema_id", "message_id", F.lit("").alias("name")))
 
 
 def mark_documented(losses: DataFrame, warnings: DataFrame, whole_word: bool = False) -> DataFrame:
@@ -127,26 +140,27 @@ def mark_documented(losses: DataFrame, warnings: DataFrame, whole_word: bool = F
     names count only between characters that cannot belong to a name. Hidden cascades are never
     documented by a warning. Null names are never found.
 
-    Names and messages meet through anchors, see ``mentions``, and a table and a detail are
-    matched on the message, so losses are never compared with all messages. There is one way
-    for few and for many warnings, and no job runs while the plan is built.
+    Losses and the matches of names in messages feed several branches, so each is computed once and
+    written. A table and a detail are matched on the message, so losses are never compared with all
+    messages, and there is one way for few and for many warnings.
     """
     messages = (warnings.filter("message IS NOT NULL").select("schema_id", "message").distinct()
                 .withColumn("message_id", F.md5("message")))
     how = F.when(F.expr(_IS_KIND), "kind").when(F.col("detail") == "", "table").otherwise("name")
-    keyed = losses.withColumn("_how", how)
+    keyed = written(losses.select(*LOSS, how.alias("_how")), "losses")
     open_losses = keyed.filter(f"NOT {_IS_CASCADE}").select(*TABLE, "_how", "detail").distinct()
-    names = (open_losses.select("schema_id", F.col("table_name").alias("name"))
-             .unionByName(open_losses.filter("_how = 'name'").select("schema_id", F.col("detail").alias("name"))))
-    found = mentions(messages, names, whole_word)
+    named = F.explode(F.when(F.col("_how") == "name", F.array("table_name", "detail")).otherwise(F.array("table_name")))
+    names = keyed.filter(f"NOT {_IS_CASCADE}").select("schema_id", named.alias("name")).distinct()
+    found = written(mentions(messages, names, whole_word), "mentions")
     of_table = found.withColumnRenamed("name", "table_name")
     kinds = scale.rules(*[(F.contains(F.upper("message"), F.lit(k.upper())), F.lit(k))
                           for k in fixed.CONSTRAINT_KINDS.values()])
     of_detail = (found.select("schema_id", "message_id", F.lit("name").alias("_how"), F.col("name").alias("detail"))
                  .unionByName(messages.select("schema_id", "message_id", F.lit("kind").alias("_how"), F.explode(kinds).alias("detail"))))
     alone = (open_losses.filter("_how = 'table'").join(of_table, TABLE, "left_semi"))
-    paired = (open_losses.filter("_how <> 'table'").join(of_detail, ["schema_id", "_how", "detail"])
-              .join(of_table, [*TABLE, "message_id"], "left_semi").select(*open_losses.columns))
+    # a detail like a common column stands in many messages, a table in few: the table's messages come first
+    paired = (open_losses.filter("_how <> 'table'").join(of_table, TABLE)
+              .join(of_detail, ["schema_id", "message_id", "_how", "detail"], "left_semi").select(*open_losses.columns))
     documented = alone.unionByName(paired).distinct().withColumn("_found", F.lit(True))
     return (keyed.join(documented, [*TABLE, "_how", "detail"], "left")
             .select(*LOSS, (F.col("_found").isNotNull() & ~F.expr(_IS_CASCADE)).alias("is_documented")))

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from attestor import scale
+from attestor.session import written
 
 SIGNATURE = ["schema_id", "source_table", "source_columns", "target_table", "target_columns"]
 TABLE = ["schema_id", "table_name"]
@@ -97,8 +98,8 @@ def dedupe_relationships(relationships: DataFrame) -> DataFrame:
 
 def build_relationships(relationships: DataFrame, tables: DataFrame, columns: DataFrame,
                         constraints: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(relationships that can be drawn, each once, with their type; those skipped)."""
-    validated = validate_relationships(relationships, tables, columns)
+    """(relationships that can be drawn, each once, with their type; those skipped); validated once and written."""
+    validated = written(validate_relationships(relationships, tables, columns), "validated")
     typed = relationship_type(validated.filter("skip_type IS NULL").drop("skip_type"),
                               unique_keys(columns, constraints))
     return dedupe_relationships(typed), validated.filter("skip_type IS NOT NULL")

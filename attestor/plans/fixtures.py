@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from attestor import scale
 from attestor.operators import mentions
-from attestor.session import configure, written
+from attestor.session import configure, on_clear, written
 from attestor.sources.catalog import Catalog
 
 TABLES = ["region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events",
@@ -203,6 +203,7 @@ def with_views(sql: str, **more: str) -> str:
 # folder, as a stored catalog would be, and read back with pruned columns.
 WRITTEN = ["f_columns", "f_rel1", "f_lines"]
 _written: dict[tuple[str, str, str], DataFrame] = {}
+on_clear(_written.clear)
 
 
 class Inputs:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -29,16 +30,26 @@ def scratch_folder(spark: SparkSession, purpose: str) -> str:
     """A new path for written tables and stream checkpoints.
 
     It lies under ``spark.checkpoint.dir``, the folder all executors share, or where that is
-    unset below the warehouse, which they share too. ``clear_scratch`` deletes what a session
-    has written.
+    unset below the warehouse. A warehouse on a local disk is no shared folder: outside local mode
+    it is refused. ``clear_scratch`` deletes what a session has written.
     """
-    base = spark.conf.get("spark.checkpoint.dir", None) or f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/scratch"
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        base = f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/scratch"
+        if base.startswith("file:") and not spark.sparkContext.master.startswith("local"):
+            raise ValueError(f"executors do not share {base}: set spark.checkpoint.dir or spark.sql.warehouse.dir to a folder they share")
     path = f"{base.rstrip('/')}/{purpose}-{uuid.uuid4().hex}"
     _scratch.append(path)
     return path
 
 
 _scratch: list[str] = []
+_cleared: list[Callable[[], None]] = []
+
+
+def on_clear(forget: Callable[[], None]) -> None:
+    """Have ``forget`` called whenever the scratch folders are deleted, to drop references to tables in them."""
+    _cleared.append(forget)
 
 
 def clear_scratch(spark: SparkSession) -> int:
@@ -47,9 +58,24 @@ def clear_scratch(spark: SparkSession) -> int:
     while _scratch:
         path = spark._jvm.org.apache.hadoop.fs.Path(_scratch.pop())
         n += path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    for forget in _cleared:
+        forget()
     return n
 
 
+def scratch_mark() -> int:
+    """The place in the list of scratch folders, for ``drop_scratch``."""
+    return len(_scratch)
+
+
+def drop_scratch(spark: SparkSession, mark: int) -> None:
+    """Delete the scratch folders made since a mark but the newest: a step's result is kept, what it was made from goes."""
+    for old in _scratch[mark:-1]:
+        path = spark._jvm.org.apache.hadoop.fs.Path(old)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    del _scratch[mark:-1]
+
+
 def written(df: DataFrame, purpose: str) -> DataFrame:
     """The same rows, read back from a table written to the scratch folder.
 

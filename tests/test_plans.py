@@ -37,3 +37,9 @@ def test_counts_of_many_sets_take_one_grouping(spark):
 @pytest.mark.parametrize("name", ["rep_examples", "rep_failures", "fea_decision", "txt_lint_top", "ext_first"])
 def test_first_rows_are_limited_before_the_shuffle(spark, name):
     assert "WindowGroupLimit" in plan(spark, name)
+
+
+@pytest.mark.parametrize("name, scans, exchanges", [("rec_all", 12, 12), ("met_all", 60, 40)])
+def test_shared_parts_are_computed_once(spark, name, scans, exchanges):
+    text = plan(spark, name)
+    assert text.count("FileScan") <= scans and text.count("Exchange") <= exchanges

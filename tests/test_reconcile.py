@@ -119,6 +119,19 @@ def test_a_name_of_digits_is_not_found_inside_another(spark):
     assert not ops.mark_documented(losses, warnings, whole_word=True).first().is_documented
 
 
+def test_many_names_with_one_beginning_meet_only_the_messages_that_hold_them(spark):
+    n = 20_000
+    losses = spark.range(n).selectExpr(
+        "1L AS schema_id", "'MISSING_TABLE' AS type", "'CRITICAL' AS severity", "'order_audit_log_entry_' || lpad(id, 6, '0') AS table_name",
+        "'' AS detail", "1L AS lost_count", "'' AS description")
+    warnings = losses.selectExpr("schema_id", "'w' AS source", "'Table ' || table_name || ' was dropped' AS message").filter("message LIKE '%7 was%'")
+    messages = warnings.select("schema_id", "message", F.md5("message").alias("message_id"))
+    # every message holds one name and nothing else is paired with it, though all names share a beginning
+    assert ops.mentions(messages, losses.selectExpr("schema_id", "table_name AS name")).count() == n // 10
+    marked = ops.mark_documented(losses, warnings).groupBy("is_documented").count().collect()
+    assert {r.is_documented: r["count"] for r in marked} == {True: n // 10, False: n - n // 10}
+
+
 def test_a_null_that_changes_places_is_a_change(spark):
     a = spark.createDataFrame([(1, None, "x"), (2, "x", None)], "k long, v string, w string")
     b = spark.createDataFrame([(1, "x", None), (2, "x", None)], "k long, v string, w string")
