@@ -146,31 +146,76 @@ VIEWS["f_diagram"] = """
   UNION ALL
   SELECT schema_id, table_no * 100 + 99, '}' FROM f_tables WHERE table_no % 13 <> 0"""
 
-# statements of a schema script, one per line
-VIEWS["f_ddl"] = """
-  SELECT schema_id AS script_id, table_no * 1000 AS line_no,
+# the items of the table bodies: columns, then keys and checks of the tables
+VIEWS["f_items"] = """
+  SELECT schema_id, table_no, table_name, ordinal AS item_no, 'column' AS kind, column_name AS name, data_type,
+    is_nullable, is_primary_key, is_unique AND NOT is_primary_key AS is_unique, coalesce(default_value, '') AS detail,
+    '"' || column_name || '" ' || CASE data_type WHEN 'numeric(10,2)' THEN 'numeric(10, 2)' ELSE data_type END
+      || CASE WHEN is_nullable THEN '' ELSE ' NOT NULL' END
+      || CASE WHEN is_primary_key THEN ' PRIMARY KEY' WHEN is_unique THEN ' UNIQUE' ELSE '' END
+      || coalesce(' DEFAULT ' || default_value, '') AS text
+  FROM f_columns
+  UNION ALL
+  SELECT schema_id, table_no, table_name, 10, 'c', 'deep_' || CAST(table_no AS string), '', true, false, false, '',
+    'CONSTRAINT deep_' || CAST(table_no AS string) || ' CHECK (((a > 0) OR (b <> '';, ('')) AND c)' FROM f_tables
+  UNION ALL
+  SELECT schema_id, table_no, table_name, 11, 'u', '', '', true, false, false, 'a,b', 'UNIQUE (a, "b")' FROM f_tables WHERE table_no % 3 = 0"""
+
+# the lines of a schema script; code is a line without its comments, head the first line of its statement
+VIEWS["f_script"] = """
+  SELECT schema_id AS script_id, table_no * 1000 AS line_no, 'CREATE TABLE ' AS what, table_no,
     CASE table_no % 4 WHEN 0 THEN 'CREATE TABLE public.' || table_name WHEN 1 THEN 'create table if not exists "' || table_name || '"'
-      WHEN 2 THEN 'CREATE  TABLE "odd""' || table_name || '"' ELSE 'CREATE TABLE ' || table_name END
-    || ' (id integer)' || CASE table_no % 20 WHEN 0 THEN ' INHERITS (base)' WHEN 1 THEN ' PARTITION OF base' ELSE '' END || ';' AS line
+      WHEN 2 THEN 'CREATE  TABLE "odd""' || table_name || '"' ELSE 'CREATE TABLE ' || table_name END || ' (' AS code,
+    CASE table_no % 3 WHEN 0 THEN '-- it''s; a "remark' ELSE '' END AS remark, table_no * 1000 AS head
   FROM f_tables
   UNION ALL
-  SELECT schema_id, table_no * 1000 + 1, 'CREATE TABLE ' || table_name || ' (again text);' FROM f_tables WHERE table_no % 9 = 0
+  SELECT schema_id, table_no * 1000 + item_no, 'item', table_no, '  ' || text || ',',
+    CASE item_no % 3 WHEN 0 THEN '/* ; /* nested '' */ $$ */' WHEN 1 THEN '-- ; "' ELSE '' END, table_no * 1000 FROM f_items
+  UNION ALL
+  SELECT schema_id, table_no * 1000 + 20, 'item', table_no, '  CHECK (true))'
+    || CASE table_no % 20 WHEN 0 THEN ' INHERITS (base)' WHEN 1 THEN ' PARTITION OF base' ELSE '' END || ';', '', table_no * 1000 FROM f_tables
+  UNION ALL
+  SELECT schema_id, table_no * 1000 + 31, 'again', table_no, 'CREATE TABLE ' || table_name || ' (again text);', '', table_no * 1000 + 31
+  FROM f_tables WHERE table_no % 9 = 0
+  UNION ALL
+  SELECT schema_id, table_no * 1000 + 32, 'sequence', table_no, 'CREATE SEQUENCE public.s_' || CAST(table_no AS string) || ' START 1;', '', table_no * 1000 + 32
+  FROM f_tables WHERE table_no % 5 = 0
   UNION ALL
-  SELECT schema_id, table_no * 1000 + 2, 'CREATE SEQUENCE public.s_' || CAST(table_no AS string) || ' START 1;' FROM f_tables WHERE table_no % 5 = 0
+  SELECT schema_id, table_no * 1000 + 33, 'column', table_no, 'ALTER TABLE public.' || table_name || ' ADD COLUMN c_' || CAST(table_no % 9 AS string)
+    || ' integer DEFAULT 5;', '', table_no * 1000 + 33 FROM f_tables WHERE table_no % 6 = 0
   UNION ALL
-  SELECT schema_id, table_no * 1000 + 3, 'ALTER TABLE public.' || table_name || ' ADD COLUMN c_' || CAST(table_no % 9 AS string)
-    || ' integer DEFAULT 5;' FROM f_tables WHERE table_no % 6 = 0
+  SELECT schema_id, table_no * 1000 + 34, 'enum', table_no, CASE WHEN table_no % 14 = 0 THEN 'CREATE TYPE empty AS ENUM (none);'
+    ELSE 'CREATE TYPE mood_' || CAST(table_no AS string) || ' AS ENUM (''sad'', ''very happy'');' END, '', table_no * 1000 + 34
+  FROM f_tables WHERE table_no % 7 = 0
   UNION ALL
-  SELECT schema_id, table_no * 1000 + 4, CASE WHEN table_no % 14 = 0 THEN 'CREATE TYPE empty AS ENUM (none);'
-    ELSE 'CREATE TYPE mood_' || CAST(table_no AS string) || ' AS ENUM (''sad'', ''very happy'');' END FROM f_tables WHERE table_no % 7 = 0
+  SELECT schema_id, table_no * 1000 + 40, 'body', table_no, 'CREATE FUNCTION f_' || CAST(table_no AS string) || '() RETURNS void AS $body$ BEGIN x := '';',
+    '', table_no * 1000 + 40 FROM f_tables WHERE table_no % 8 = 0
   UNION ALL
-  SELECT schema_id, table_no * 1000 + 100 + CAST(substr(constraint_name, 3) AS INT), 'ALTER TABLE '
-    || CASE WHEN table_no % 2 = 0 THEN 'ONLY public.' ELSE '' END || table_name || ' ADD CONSTRAINT ' || constraint_name || ' ' || definition || ';'
-  FROM f_constraints
+  SELECT schema_id, table_no * 1000 + 41, 'body', table_no, 'CREATE TABLE inner_' || CAST(table_no AS string) || ' (id int); $$ ; -- END $body$ LANGUAGE sql;',
+    '', table_no * 1000 + 40 FROM f_tables WHERE table_no % 8 = 0
   UNION ALL
-  SELECT schema_id, CAST(split_part(index_name, '_', 2) AS BIGINT) * 1000 + 200 + CAST(split_part(index_name, '_', 3) AS INT),
+  SELECT schema_id, table_no * 1000 + 50, 'comment', table_no, '', '/* it''s; CREATE TABLE hidden_' || CAST(table_no AS string) || ' (id int);', NULL
+  FROM f_tables WHERE table_no % 10 = 3
+  UNION ALL
+  SELECT schema_id, table_no * 1000 + 51, 'comment', table_no, '', ' /* */ ; still "hidden */', NULL FROM f_tables WHERE table_no % 10 = 3
+  UNION ALL
+  SELECT schema_id, table_no * 1000 + 60, 'text', table_no, 'COMMENT ON TABLE t IS ''first;', '', table_no * 1000 + 60 FROM f_tables WHERE table_no % 12 = 5
+  UNION ALL
+  SELECT schema_id, table_no * 1000 + 61, 'text', table_no, '-- CREATE TABLE none (x int); second''''s /* $$'';', '', table_no * 1000 + 60
+  FROM f_tables WHERE table_no % 12 = 5
+  UNION ALL
+  SELECT schema_id, table_no * 1000 + 100 + CAST(substr(constraint_name, 3) AS INT), 'constraint', table_no, 'ALTER TABLE '
+    || CASE WHEN table_no % 2 = 0 THEN 'ONLY public.' ELSE '' END || table_name || ' ADD CONSTRAINT ' || constraint_name || ' ' || definition || ';',
+    '', table_no * 1000 + 100 + CAST(substr(constraint_name, 3) AS INT) FROM f_constraints
+  UNION ALL
+  SELECT schema_id, CAST(split_part(index_name, '_', 2) AS BIGINT) * 1000 + 200 + CAST(split_part(index_name, '_', 3) AS INT), 'index',
+    CAST(split_part(index_name, '_', 2) AS BIGINT),
     'CREATE ' || CASE WHEN is_unique THEN 'UNIQUE ' ELSE '' END || 'INDEX ' || index_name || ' ON public.' || table_name
-    || CASE WHEN index_method = 'gin' THEN ' USING GIN ' ELSE ' ' END || '(' || columns || ');' FROM f_indexes"""
+    || CASE WHEN index_method = 'gin' THEN ' USING GIN ' ELSE ' ' END || '(' || columns || ');', '',
+    CAST(split_part(index_name, '_', 2) AS BIGINT) * 1000 + 200 + CAST(split_part(index_name, '_', 3) AS INT) FROM f_indexes"""
+
+VIEWS["f_ddl"] = """
+  SELECT script_id, line_no, code || remark AS line FROM f_script"""
 
 
 def needs(name: str) -> list[str]:

@@ -7,20 +7,21 @@ from attestor.operators import mentions as ops
 from attestor.plans import sql_parts as sql
 from attestor.plans.registry import query
 
-# every line of the script view is one statement, so position and line order agree
-STATEMENTS = """
-  SELECT script_id, CAST(row_number() OVER (PARTITION BY script_id ORDER BY line_no) - 1 AS INTEGER) AS pos,
-    rtrim(line, ';') AS statement, line_no FROM f_ddl"""
+# the fixture tells the lines of each statement and what they hold apart from comments
+STATEMENTS = r"""
+  SELECT script_id, CAST(row_number() OVER (PARTITION BY script_id ORDER BY line_no) - 1 AS INTEGER) AS pos, statement, line_no
+  FROM (SELECT script_id, head AS line_no, rtrim(string_agg(code || CASE WHEN remark = '' THEN '' ELSE ' ' END, chr(10) ORDER BY f.line_no), ';') AS statement
+        FROM f_script f WHERE head IS NOT NULL GROUP BY 1, 2)"""
 # the fixture writes every name in a form of its own; these are the names it means
-TABLES = """
+TABLES = r"""
   SELECT script_id, pos, statement, CASE WHEN f.table_no % 4 = 2 AND line_no % 1000 = 0 THEN 'odd"' || f.table_name
       WHEN f.table_no % 4 = 1 AND line_no % 1000 = 0 THEN f.table_name
       ELSE regexp_extract(f.table_name, '^\w+') END AS table_name
   FROM statements s JOIN f_tables f ON f.schema_id = s.script_id AND f.table_no = s.line_no // 1000
-  WHERE starts_with(upper(statement), 'CREATE ') AND regexp_matches(statement, 'CREATE +TABLE ', 'i')"""
+  WHERE line_no % 1000 IN (0, 31)"""
 KINDS = """
   SELECT *, CASE WHEN starts_with(upper(statement), 'CREATE TABLE') THEN 'CREATE TABLE'
-    WHEN contains(upper(statement), 'ALTER TABLE') THEN 'ALTER TABLE' WHEN starts_with(upper(statement), 'CREATE INDEX') THEN 'CREATE INDEX'
+    WHEN starts_with(upper(statement), 'ALTER TABLE') THEN 'ALTER TABLE' WHEN starts_with(upper(statement), 'CREATE INDEX') THEN 'CREATE INDEX'
     WHEN starts_with(upper(statement), 'CREATE SEQUENCE') THEN 'CREATE SEQUENCE'
     WHEN contains(upper(statement), 'CREATE TYPE') AND contains(upper(statement), 'ENUM') THEN 'CREATE ENUM' ELSE 'OTHER' END AS kind
   FROM statements"""
@@ -137,6 +138,36 @@ def ext_column(i):
         "default_value", F.coalesce("default_value", F.lit("")))
 
 
+# a name with a blank or a dash after its first word has no bracket right behind it
+BODY_TABLES = """
+  SELECT s.*, f.table_no, line_no % 1000 = 0 AND f.table_no % 20 = 1 AS is_partition FROM found_tables s
+  JOIN statements USING (script_id, pos) JOIN f_tables f ON f.schema_id = script_id AND f.table_no = line_no // 1000
+  WHERE line_no % 1000 = 0 AND (f.table_no % 4 IN (1, 2) OR regexp_full_match(f.table_name, '[a-z_0-9]+'))"""
+
+
+@query("ext_body", """
+  SELECT b.script_id, b.pos, b.table_name, CAST(row_number() OVER (PARTITION BY b.script_id, b.pos ORDER BY i.item_no) - 1 AS INTEGER) AS item_no,
+    i.kind, i.name, CASE i.data_type WHEN 'numeric(10,2)' THEN 'numeric(10, 2)' ELSE i.data_type END AS data_type,
+    i.is_nullable, i.is_primary_key, i.is_unique, i.detail
+  FROM body_tables b JOIN (SELECT schema_id, table_no, item_no, kind, name, data_type, is_nullable, is_primary_key, is_unique, detail FROM f_items
+    UNION ALL SELECT schema_id, table_no, 20, 'c', '', '', true, false, false, '' FROM f_tables) i ON i.schema_id = b.script_id AND i.table_no = b.table_no
+  QUALIFY NOT (b.is_partition AND i.kind = 'column')
+  UNION ALL SELECT s.script_id, s.pos, s.table_name, 0, 'column', 'again', 'text', true, false, false, '' FROM found_tables s JOIN statements USING (script_id, pos)
+    JOIN f_tables f ON f.schema_id = s.script_id AND f.table_no = line_no // 1000
+  WHERE line_no % 1000 = 31 AND regexp_full_match(f.table_name, '[a-z_0-9]+')""",
+       **S, found_tables=TABLES, body_tables=BODY_TABLES)
+def ext_body(i):
+    tables = ops.extract_tables(scripts(i))
+    none, yes, no = F.lit(""), F.lit(True), F.lit(False)
+    columns = ops.body_columns(tables).select(
+        "script_id", "pos", "table_name", "item_no", F.lit("column").alias("kind"), F.col("column_name").alias("name"), "data_type",
+        "is_nullable", "is_primary_key", "is_unique", F.coalesce("default_value", none).alias("detail"))
+    constraints = ops.body_constraints(tables).select(
+        "script_id", "pos", "table_name", "item_no", F.col("constraint_type").alias("kind"), F.coalesce("constraint_name", none).alias("name"),
+        none.alias("data_type"), yes.alias("is_nullable"), no.alias("is_primary_key"), no.alias("is_unique"), listed("columns").alias("detail"))
+    return columns.unionByName(constraints)
+
+
 @query("ext_addcol", r"""
   SELECT schema_id, table_name, column_name, data_type FROM f_columns
   UNION ALL
