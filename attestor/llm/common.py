@@ -14,7 +14,7 @@ from pyspark.sql.types import StructType
 from attestor.session import configure, written
 
 ARROW_ROWS = 512
-BROADCAST_ROWS = 1_000_000
+BROADCAST_ROWS = 100_000
 
 # fixed value: the characters \x20 and \x09-\x0D, between which words stand
 BLANKS = " \t\n\x0b\x0c\r"
@@ -28,6 +28,8 @@ def prepared(spark: SparkSession) -> SparkSession:
     """
     spark.sparkContext.environment.setdefault("PYTHONPATH", str(Path(__file__).resolve().parents[2]))
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
+    # what Spark broadcasts by itself is held several times over by the driver
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "4m")
     return configure(spark)
 
 
@@ -75,10 +77,21 @@ def per_row(df: DataFrame, work: Callable[..., tuple], schema: str) -> DataFrame
 
 
 def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """Broadcast a written table of few numbers if it has at most ``rows`` rows, else leave it to a shuffle."""
+    """Broadcast a written table of few numbers if it has at most ``rows`` rows, else leave it to a shuffle.
+
+    A row is some ten numbers at most, so what is broadcast stays below 10 MB.
+    """
     return F.broadcast(df) if df.count() <= rows else df
 
 
+def free_name(columns: list[str], name: str) -> str:
+    """A column name that none of ``columns`` has, whatever their case."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def stored(df: DataFrame, purpose: str) -> DataFrame:
     """The rows, written to the shared folder and read back: computed once, lineage cut."""
     return written(df, f"llm-{purpose}")

@@ -14,10 +14,11 @@ import math
 from collections import defaultdict
 from collections.abc import Iterator
 
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from attestor.llm.common import mapped, prepared, texts
+from attestor.llm.common import free_name, mapped, prepared, stored, texts
 
 WINDOW = 13
 BLOCK_BYTES = 2 << 20  # benchmark text searched for at once
@@ -114,7 +115,7 @@ def item_blocks(benchmark: DataFrame, block_bytes: int = BLOCK_BYTES) -> Iterato
 
 def search_all(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW,
                block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """(doc_id, n_words, hits, items) for every document, in the order in which they are read.
+    """(doc_id, same, n_words, hits, items) for every document; ``same`` is a hash of its text.
 
     ``hits`` are merged spans of words inside occurrences, ``items`` the item_ids found, both
     over all blocks of the benchmark; a benchmark larger than one block is searched block by
@@ -126,7 +127,7 @@ def search_all(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW,
               "items array<bigint>")
     plain = texts(docs).select("doc_id", F.xxhash64("text").alias("same"), "text")
 
-    def over(items: list) -> DataFrame:
+    def over(items: list) -> tuple[DataFrame, Broadcast]:
         sent = spark.sparkContext.broadcast(items)
 
         def work(rows):
@@ -134,25 +135,29 @@ def search_all(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW,
             for doc_id, same, text in rows:
                 n, hits, found = search(text, groups)
                 yield doc_id, same, n, hits, sorted(found)
-        return mapped(plain, work, schema)
-
-    first, *others = [over(items) for items in item_blocks(benchmark, block_bytes)]
-    if not others:
-        return first.drop("same")
+        return mapped(plain, work, schema), sent
+
+    blocks = item_blocks(benchmark, block_bytes)
+    first, _ = over(next(blocks))
+    more = None
+    for items in blocks:
+        # the driver holds one block at a time: what it finds is written, then its broadcast goes
+        found, sent = over(items)
+        found = stored(found.filter(F.size("items") > 0), "benchmark-block")
+        sent.destroy()
+        more = found if more is None else more.unionByName(found)
+    if more is None:
+        return first
     # documents that a further block hits are added to the rows of the first block, which has every document
-    more = others[0]
-    for other in others[1:]:
-        more = more.unionByName(other)
-    more = (more.filter(F.size("items") > 0).groupBy("doc_id", "same")
+    more = (more.groupBy("doc_id", "same")
             .agg(F.flatten(F.collect_set("hits")).alias("more_hits"), F.flatten(F.collect_set("items")).alias("more_items")))
     both = first.alias("a").join(more.alias("b"), F.expr("a.doc_id <=> b.doc_id AND a.same = b.same"), "left")
 
     def join(rows):
-        for doc_id, n, hits, items, more_hits, more_items in rows:
+        for doc_id, same, n, hits, items, more_hits, more_items in rows:
             spans = sorted((h["start"], h["end"]) for h in [*hits, *(more_hits or [])])
-            yield doc_id, n, merged(spans), sorted({*items, *(more_items or [])})
-    return mapped(both.select("a.doc_id", "n_words", "hits", "items", "more_hits", "more_items"), join,
-                  "doc_id bigint, n_words bigint, hits array<struct<start: bigint, end: bigint>>, items array<bigint>")
+            yield doc_id, same, n, merged(spans), sorted({*items, *(more_items or [])})
+    return mapped(both.select("a.doc_id", "a.same", "n_words", "hits", "items", "more_hits", "more_items"), join, schema)
 
 
 def hit_words() -> Column:
@@ -161,10 +166,16 @@ def hit_words() -> Column:
 
 
 def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The documents that are not contaminated, with their columns as they are; null keys stay."""
+    """The documents that are not contaminated, with their columns as they are.
+
+    A row goes by its own text, whatever its key: rows without a key, repeated rows and rows that
+    share a key with others are judged one by one.
+    """
     found = search_all(docs, benchmark).withColumn("n_hit", hit_words())
-    gone = found.filter("n_hit > 0 AND 20 * n_hit >= n_words").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    gone = found.filter("n_hit > 0 AND 20 * n_hit >= n_words").select(F.col("doc_id").alias("gone_id"), "same").distinct()
+    same = free_name([*docs.columns, "gone_id"], "same_text")
+    rows = docs.withColumn(same, F.xxhash64("text"))
+    return rows.join(gone, rows["doc_id"].eqNullSafe(gone["gone_id"]) & (rows[same] == gone["same"]), "left_anti").select(*docs.columns)
 
 
 def digest(docs: DataFrame, benchmark: DataFrame) -> DataFrame:

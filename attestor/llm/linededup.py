@@ -15,7 +15,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from attestor.llm.common import BLANKS, per_row, prepared, stored, texts
+from attestor.llm.common import BLANKS, free_name, per_row, prepared, stored, texts
 
 LEAST_CHARS = 10
 BATCHES = 4
@@ -121,17 +121,18 @@ def deduplicate_rows(docs: DataFrame, key: str = "doc_id", text: str = "text", b
     """
     prepared(docs.sparkSession)
     plain = docs.drop("n_lines", "n_dropped")
-    lost = (dropped(texts(docs, key, text), batches).groupBy(F.col("d").alias("_d"))
-            .agg(F.collect_list(F.struct(*_HASH)).alias("_lost")))  # at most a document's own lines
-    both = (plain.withColumn("_d", F.coalesce(key, F.lit(NO_ID))).join(lost, "_d", "left").drop("_d")
-            .withColumn("_counts", F.lit(None).cast("struct<n_lines: bigint, n_dropped: bigint>")))
-    at_text, at_lost = both.columns.index(text), both.columns.index("_lost")
+    d_name, lost_name, counts_name = (free_name(plain.columns, n) for n in ("_d", "_lost", "_counts"))
+    lost = (dropped(texts(docs, key, text), batches).groupBy(F.col("d").alias(d_name))
+            .agg(F.collect_list(F.struct(*_HASH)).alias(lost_name)))  # at most a document's own lines
+    both = (plain.withColumn(d_name, F.coalesce(key, F.lit(NO_ID))).join(lost, d_name, "left").drop(d_name)
+            .withColumn(counts_name, F.lit(None).cast("struct<n_lines: bigint, n_dropped: bigint>")))
+    at_text, at_lost = both.columns.index(text), both.columns.index(lost_name)
 
     def work(*row):
         kept, n, gone = without_lines(row[at_text], row[at_lost])
         return (*row[:at_text], kept, *row[at_text + 1:at_lost], None, (n, gone))
     done = per_row(both, work, both.schema.toDDL())
-    return done.select(*plain.columns, "_counts.n_lines", "_counts.n_dropped")
+    return done.select(*plain.columns, F.col(counts_name)["n_lines"].alias("n_lines"), F.col(counts_name)["n_dropped"].alias("n_dropped"))
 
 
 def without_lines(text: str | None, lost: list | None) -> tuple[str, int, int]:

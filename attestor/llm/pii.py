@@ -92,7 +92,7 @@ def spans(text: str) -> list[tuple[str, int, int]]:
             if at >= ip:
                 if m := _IP.match(text, at):
                     ip = m.end()
-                    if all(len(p.lstrip("0")) <= 3 and int(p) <= 255 for p in m[0].split(".")):
+                    if all(len(p.lstrip("0")) <= 3 and int(p.lstrip("0") or 0) <= 255 for p in m[0].split(".")):
                         found["ip"].append(m.span())
                 else:  # what follows the digits decides, so no later digit of them can succeed
                     ip = _DIGITS.match(text, at).end()

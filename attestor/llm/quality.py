@@ -12,6 +12,7 @@ from __future__ import annotations
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -125,17 +126,25 @@ def train(docs: DataFrame, training_rows: int = TRAINING_ROWS) -> np.ndarray | N
     """The scorer of a corpus, or None for an empty one.
 
     Votes are counted over all documents; the features of at most ``training_rows`` documents, in
-    hash order of their keys, come to the driver.
+    hash order of their keys, are fitted by one task, and only the weights come to the driver.
     """
     patterns = stored(per_row(docs, lambda d, t: (d, pattern(t or "")), "doc_id bigint, pattern int"), "quality-votes")
     posterior, _, _ = accuracies({r["pattern"]: r["count"] for r in patterns.groupBy("pattern").count().collect()})
-    chosen = stored(patterns.orderBy(F.xxhash64("doc_id"), "pattern").limit(training_rows).select("doc_id").distinct(), "quality-chosen")
-    sample = per_row(docs.join(F.broadcast(chosen), "doc_id"), lambda d, t: (hashed(t or "").tobytes(), pattern(t or "")), "x binary, pattern int")
-    rows = sample.limit(training_rows).toArrow()
-    if not rows.num_rows:
-        return None
-    x = np.frombuffer(b"".join(rows.column("x").to_pylist()), np.float32).reshape(-1, DIMENSIONS)
-    return fitted(x, np.array([posterior[p] for p in rows.column("pattern").to_pylist()], np.float32))
+    keys = patterns.select("doc_id").distinct()
+    chosen = stored(keys.filter("doc_id IS NOT NULL").orderBy(F.xxhash64("doc_id"), "doc_id").limit(training_rows), "quality-chosen")
+    sample = per_row(docs.join(F.broadcast(chosen), "doc_id"), lambda d, t: (d, hashed(t or "").tobytes(), pattern(t or "")),
+                     "doc_id bigint, x binary, pattern int")
+    # repeated keys can make more rows than keys; the order is that of keys and features, so any run fits the same rows alike
+    rows = sample.orderBy(F.xxhash64("doc_id"), "doc_id", F.xxhash64("x"), "pattern").limit(training_rows)
+
+    def fit(parts):
+        parts = [p for p in parts if p.num_rows]
+        if parts:
+            x = np.concatenate([np.frombuffer(b"".join(p.column("x").to_pylist()), np.float32) for p in parts]).reshape(-1, DIMENSIONS)
+            y = np.array([posterior[p] for part in parts for p in part.column("pattern").to_pylist()], np.float32)
+            yield pa.RecordBatch.from_arrays([pa.array([fitted(x, y).tolist()], pa.list_(pa.float64()))], ["w"])
+    weights = rows.select("x", "pattern").coalesce(1).mapInArrow(fit, "w array<double>").collect()
+    return np.array(weights[0].w) if weights else None
 
 
 def score(text: str | None, weights: np.ndarray) -> float:
@@ -160,7 +169,6 @@ def scored(docs: DataFrame, key: str = "doc_id", text: str = "text", training_ro
 
 def kept(docs: DataFrame) -> DataFrame:
     """The documents that are not rejected, with all their columns as they are."""
-    import pyarrow as pa
     prepared(docs.sparkSession)
     weights = train(texts(docs))
 

@@ -14,7 +14,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from attestor.llm.common import BLANKS, prepared, texts
+from attestor.llm.common import BLANKS, prepared, stored, texts
 
 SAMPLE_ROWS = 2000
 SYMBOLS = "#*$%&|<>"
@@ -68,19 +68,19 @@ def repeated_words(words: Column) -> Column:
                .otherwise(let(windows(w), lambda s: let(positions(s), covered))))
 
 
-def features(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+def features(docs: DataFrame, key: str = "doc_id", text: str = "text", **more: Column) -> DataFrame:
     """(doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words) of whole texts.
 
     A null or empty text has no words and all counts are 0. Repeated rows give repeated rows, a
-    null key stays null, other columns are ignored.
+    null key stays null, other columns are ignored. ``more`` are further columns over ``text``.
     """
     t = F.col("text")
     plain = texts(docs, key, text).withColumn("text", F.coalesce("text", F.lit("")))
     return plain.select("doc_id", word_array(t).alias("_w"), word_chars(t).cast("bigint").alias("word_chars"),
                         count_chars(t, SYMBOLS).cast("bigint").alias("n_symbols"),
-                        duplicate_lines(t).cast("bigint").alias("n_dup_lines")).select(
+                        duplicate_lines(t).cast("bigint").alias("n_dup_lines"), *[c.alias(k) for k, c in more.items()]).select(
         "doc_id", F.size("_w").cast("bigint").alias("n_words"), "word_chars", "n_symbols", "n_dup_lines",
-        repeated_words(F.col("_w")).cast("bigint").alias("n_repeat_words"))
+        repeated_words(F.col("_w")).cast("bigint").alias("n_repeat_words"), *more)
 
 
 @dataclass(frozen=True)
@@ -105,20 +105,22 @@ def standard_rules(text: str = "text") -> list[Rule]:
 def ordered(docs: DataFrame, rules: list[Rule], sample_rows: int = SAMPLE_ROWS) -> list[tuple[Rule, float, float]]:
     """(rule, seconds per row, share rejected) by falling rejection per cost.
 
-    Both are measured on at most ``sample_rows`` rows; an empty table leaves the given order.
+    Both are measured on about ``sample_rows`` rows at most, taken by a hash of the row and written
+    to a table of their own, so no text comes to the driver; an empty sample leaves the given order.
     """
-    spark = docs.sparkSession
-    rows = docs.limit(sample_rows).collect()  # bounded by the parameter
-    if not rows:
+    n = docs.count()
+    share = min(1.0, sample_rows / max(1, n))
+    drawn = docs.filter(F.pmod(F.xxhash64(*docs.columns), F.lit(1 << 30)) < int(share * (1 << 30)))
+    sample = stored(drawn.limit(sample_rows).coalesce(1), "rules-sample")
+    n_rows = sample.count()
+    if not n_rows:
         return [(r, 0.0, 0.0) for r in rules]
-    sample = spark.createDataFrame(rows, docs.schema).coalesce(1).cache()
     shares = sample.agg(*[F.avg(r.rejects.cast("int")).alias(str(i)) for i, r in enumerate(rules)]).first()
     measured = []
     for i, r in enumerate(rules):
         start = time.perf_counter()
         sample.agg(F.sum(r.needs.cast("bigint"))).collect()
-        measured.append((r, (time.perf_counter() - start) / len(rows), float(shares[i] or 0)))
-    sample.unpersist()
+        measured.append((r, (time.perf_counter() - start) / n_rows, float(shares[i] or 0)))
     return sorted(measured, key=lambda m: -m[2] / max(m[1], 1e-9))
 
 
@@ -137,21 +139,11 @@ def filtered(docs: DataFrame, rules: list[Rule] | None = None, sample_rows: int
     return docs.filter(cascade(order).isNull())
 
 
-def feature_rules() -> list[Rule]:
-    """The standard rules over the columns of ``features``; the two base rules among them."""
-    n = F.col("n_words")
-    return [Rule("short", n < 50, n), Rule("repetitive", 100 * F.col("n_repeat_words") > 50 * n, F.col("n_repeat_words")),
-            Rule("symbols", 10 * F.col("n_symbols") > n, F.col("n_symbols")),
-            Rule("lines", 5 * F.col("n_dup_lines") > n, F.col("n_dup_lines")),
-            Rule("word_length", (F.col("word_chars") < 2 * n) | (F.col("word_chars") > 15 * n), F.col("word_chars"))]
-
-
 def digest(docs: DataFrame, sample_rows: int = SAMPLE_ROWS) -> DataFrame:
-    """The features of every document, the base verdict, and the verdict of the cascade."""
+    """The features of every document, the base verdict, and the verdict of the cascade over its text."""
     prepared(docs.sparkSession)
-    by_name = {r.name: r for r in feature_rules()}
-    first = cascade([by_name[r.name] for r, _, _ in ordered(texts(docs), standard_rules(), sample_rows)])
+    order = [r for r, _, _ in ordered(texts(docs), standard_rules(), sample_rows)]
     n = F.col("n_words")
-    return (features(docs).withColumn("base_failed", (n < 50) | (100 * F.col("n_repeat_words") > 50 * n))
-            .withColumn("rejected_by", first).withColumn("kept", F.col("rejected_by").isNull())
+    return (features(docs, kept=cascade(order).isNull())
+            .withColumn("base_failed", (n < 50) | (100 * F.col("n_repeat_words") > 50 * n))
             .select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"))
