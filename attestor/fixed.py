@@ -303,3 +303,11 @@ REPORT_ADVICE = {
     "dropped_checks": "implement dropped CHECK logic in the application",
 }
 NO_REPORT_ADVICE = "no specific recommendations"
+
+# what each type of loss means
+LOSS_IMPACTS = {
+    "MISSING_TABLE": "a whole table and all that refers to it",
+    "MISSING_RELATIONSHIP": "a foreign key between two tables",
+    "MISSING_CONSTRAINT": "rules that kept the rows of a table sound",
+    "INVISIBLE_CASCADE": "deletions or updates spread to other rows unseen",
+    "MISSING_COLUMN": "the definition of a column"}

@@ -1,7 +1,7 @@
 """What a converted copy lost compared with its source, and which losses no warning names.
 
 Losses share one form: schema_id, type, severity, table_name, detail, lost_count,
-description. ``detail`` is the target table, the constraint kind or the column.
+description, impact. ``detail`` is the target table, the constraint kind or the column.
 """
 
 from __future__ import annotations
@@ -16,7 +16,13 @@ from attestor.session import written
 from attestor.sources.catalog import Catalog
 
 TABLE = ["schema_id", "table_name"]
-LOSS = ["schema_id", "type", "severity", "table_name", "detail", "lost_count", "description"]
+LOSS = ["schema_id", "type", "severity", "table_name", "detail", "lost_count", "description", "impact"]
+
+
+def impact(kind: Column) -> Column:
+    """What a loss of each type means for the one who reads the copy."""
+    return F.create_map(*[F.lit(x) for pair in fixed.LOSS_IMPACTS.items() for x in pair])[kind]
+
 
 def _losses(df: DataFrame, kind: str, severity: str | Column, description: Column,
             detail: Column | None = None, lost: Column | None = None) -> DataFrame:
@@ -25,14 +31,14 @@ def _losses(df: DataFrame, kind: str, severity: str | Column, description: Colum
         (F.lit(severity) if isinstance(severity, str) else severity).alias("severity"),
         "table_name", (F.lit("") if detail is None else detail).alias("detail"),
         (F.lit(1) if lost is None else lost).cast("long").alias("lost_count"),
-        description.alias("description"))
+        description.alias("description"), F.lit(fixed.LOSS_IMPACTS[kind]).alias("impact"))
 
 
 def missing_tables(a: DataFrame, b: DataFrame) -> DataFrame:
     """Tables of the source that the copy lacks."""
     gone = a.select(*TABLE).distinct().join(b.select(*TABLE), TABLE, "left_anti")
     return _losses(gone, "MISSING_TABLE", "CRITICAL",
-                   F.format_string("Table '%s' missing from output without warning", "table_name"))
+                   F.format_string("Table '%s' is not in the copy", "table_name"))
 
 
 def missing_relationships(a: DataFrame, b: DataFrame, by: str = "pair") -> DataFrame:
@@ -43,7 +49,7 @@ def missing_relationships(a: DataFrame, b: DataFrame, by: str = "pair") -> DataF
     named = a.filter("source_table <> '' AND target_table <> ''").select(*keys).distinct()
     gone = named.join(b.select(*keys), keys, "left_anti").withColumnRenamed("source_table", "table_name")
     return _losses(gone, "MISSING_RELATIONSHIP", "HIGH",
-                   F.format_string("Relationship %s -> %s lost without warning", "table_name", "target_table"),
+                   F.format_string("Relationship %s -> %s is not in the copy", "table_name", "target_table"),
                    detail=F.col("target_table"))
 
 
@@ -61,7 +67,7 @@ def missing_constraints(a: DataFrame, b: DataFrame, tables: DataFrame) -> DataFr
     fewer = counts.withColumn("lost", F.col("_a") - F.col("_b")).filter("lost > 0")
     kept = fewer.join(tables.select(*TABLE), TABLE, "left_semi")
     return _losses(kept, "MISSING_CONSTRAINT", F.when(F.col("kind") == "check", "HIGH").otherwise("MEDIUM"),
-                   F.format_string("Lost %d %s constraint(s) on table '%s' without warning",
+                   F.format_string("%d %s constraint(s) fewer on table '%s'",
                                    "lost", "kind", "table_name"),
                    detail=F.col("kind"), lost=F.col("lost"))
 
@@ -75,7 +81,7 @@ def hidden_cascades(relationships: DataFrame) -> DataFrame:
                                        (F.col("on_update") == "CASCADE", F.lit("UPDATE"))), "/")
     r = r.withColumn("_actions", actions).filter("_actions <> ''").withColumnRenamed("source_table", "table_name")
     return _losses(r, "INVISIBLE_CASCADE", "MEDIUM",
-                   F.format_string("CASCADE %s action on %s -> %s not visible in diagram",
+                   F.format_string("CASCADE %s of %s -> %s does not show",
                                    "_actions", "table_name", "target_table"),
                    detail=F.col("target_table"))
 
@@ -86,7 +92,7 @@ def missing_columns(a: DataFrame, b: DataFrame, tables: DataFrame) -> DataFrame:
     gone = (a.select(*keys).distinct().join(b.select(*keys), keys, "left_anti")
             .join(tables.select(*TABLE), TABLE, "left_semi"))
     return _losses(gone, "MISSING_COLUMN", "HIGH",
-                   F.format_string("Column '%s.%s' missing from output without warning",
+                   F.format_string("Column '%s.%s' is not in the copy",
                                    "table_name", "column_name"),
                    detail=F.col("column_name"))
 
@@ -147,6 +153,8 @@ def mark_documented(losses: DataFrame, warnings: DataFrame, whole_word: bool = F
     messages = (warnings.filter("message IS NOT NULL").select("schema_id", "message").distinct()
                 .withColumn("message_id", F.md5("message")))
     how = F.when(F.expr(_IS_KIND), "kind").when(F.col("detail") == "", "table").otherwise("name")
+    if "impact" not in losses.columns:
+        losses = losses.withColumn("impact", impact(F.col("type")))
     keyed = written(losses.select(*LOSS, how.alias("_how")), "losses")
     open_losses = keyed.filter(f"NOT {_IS_CASCADE}").select(*TABLE, "_how", "detail").distinct()
     named = F.explode(F.when(F.col("_how") == "name", F.array("table_name", "detail")).otherwise(F.array("table_name")))

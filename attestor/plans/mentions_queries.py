@@ -145,7 +145,7 @@ BODY_TABLES = """
   WHERE line_no % 1000 = 0 AND (f.table_no % 4 IN (1, 2) OR regexp_full_match(f.table_name, '[a-z_0-9]+'))"""
 
 
-@query("ext_body", """
+BODY = """
   SELECT b.script_id, b.pos, b.table_name, CAST(row_number() OVER (PARTITION BY b.script_id, b.pos ORDER BY i.item_no) - 1 AS INTEGER) AS item_no,
     i.kind, i.name, CASE i.data_type WHEN 'numeric(10,2)' THEN 'numeric(10, 2)' ELSE i.data_type END AS data_type,
     i.is_nullable, i.is_primary_key, i.is_unique, i.detail
@@ -154,8 +154,10 @@ BODY_TABLES = """
   QUALIFY NOT (b.is_partition AND i.kind = 'column')
   UNION ALL SELECT s.script_id, s.pos, s.table_name, 0, 'column', 'again', 'text', true, false, false, '' FROM found_tables s JOIN statements USING (script_id, pos)
     JOIN f_tables f ON f.schema_id = s.script_id AND f.table_no = line_no // 1000
-  WHERE line_no % 1000 = 31 AND regexp_full_match(f.table_name, '[a-z_0-9]+')""",
-       **S, found_tables=TABLES, body_tables=BODY_TABLES)
+  WHERE line_no % 1000 = 31 AND regexp_full_match(f.table_name, '[a-z_0-9]+')"""
+
+
+@query("ext_body", "SELECT * FROM body", **S, found_tables=TABLES, body_tables=BODY_TABLES, body=BODY)
 def ext_body(i):
     tables = ops.extract_tables(scripts(i))
     none, yes, no = F.lit(""), F.lit(True), F.lit(False)
@@ -187,9 +189,12 @@ def ext_addcon(i):
     return ops.added_constraints(scripts(i)).withColumn("columns", listed("columns"))
 
 
-@query("ext_errors", r"""
+ERRORS = r"""
   SELECT script_id, pos, kind || ' parsing failed' AS context, statement, substr(statement, 1, 200) AS preview FROM (
     SELECT script_id, pos, 'CREATE INDEX' AS kind, statement FROM found_indexes WHERE NOT is_unique AND NOT regexp_full_match(table_name, '\w+')
-    UNION ALL SELECT script_id, pos, 'CREATE ENUM', statement FROM statements WHERE statement LIKE 'CREATE TYPE empty%') x""", **S, found_indexes=INDEXES)
+    UNION ALL SELECT script_id, pos, 'CREATE ENUM', statement FROM statements WHERE statement LIKE 'CREATE TYPE empty%') x"""
+
+
+@query("ext_errors", ERRORS, **S, found_indexes=INDEXES)
 def ext_errors(i):
     return ops.extract_errors(scripts(i))

@@ -5,6 +5,7 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from attestor import fixed
 from attestor.operators import reconcile as ops
 from attestor.plans import sql_parts as sql
 from attestor.plans.registry import query
@@ -21,7 +22,7 @@ def rec_tables(i):
 
 @query("rec_rels", "SELECT *, 'pair' AS compared FROM (" + sql.MISSING_RELATIONSHIPS + """)
   UNION ALL SELECT DISTINCT schema_id, 'MISSING_RELATIONSHIP', 'HIGH', source_table, target_table, CAST(1 AS BIGINT),
-    'Relationship ' || source_table || ' -> ' || target_table || ' lost without warning', 'columns'
+    'Relationship ' || source_table || ' -> ' || target_table || ' is not in the copy', '""" + fixed.LOSS_IMPACTS["MISSING_RELATIONSHIP"] + """', 'columns'
   FROM f_relationships a WHERE NOT EXISTS (SELECT 1 FROM c_relationships b WHERE b.schema_id = a.schema_id
     AND b.source_table = a.source_table AND b.target_table = a.target_table
     AND b.source_columns = a.source_columns AND b.target_columns = a.target_columns)""")

@@ -104,19 +104,19 @@ CONSTRAINT_WARNINGS = _union(
 
 MISSING_TABLES = """
   SELECT schema_id, 'MISSING_TABLE' AS type, 'CRITICAL' AS severity, table_name, '' AS detail, CAST(1 AS BIGINT) AS lost_count,
-    'Table ''' || table_name || ''' missing from output without warning' AS description
+    'Table ''' || table_name || ''' is not in the copy' AS description
   FROM (SELECT DISTINCT schema_id, table_name FROM f_tables) a
   WHERE NOT EXISTS (SELECT 1 FROM c_tables b WHERE b.schema_id = a.schema_id AND b.table_name = a.table_name)"""
 MISSING_RELATIONSHIPS = """
   SELECT schema_id, 'MISSING_RELATIONSHIP' AS type, 'HIGH' AS severity, source_table AS table_name, target_table AS detail,
-    CAST(1 AS BIGINT) AS lost_count, 'Relationship ' || source_table || ' -> ' || target_table || ' lost without warning' AS description
+    CAST(1 AS BIGINT) AS lost_count, 'Relationship ' || source_table || ' -> ' || target_table || ' is not in the copy' AS description
   FROM (SELECT DISTINCT schema_id, source_table, target_table FROM f_relationships) a
   WHERE NOT EXISTS (SELECT 1 FROM c_relationships b WHERE b.schema_id = a.schema_id
     AND b.source_table = a.source_table AND b.target_table = a.target_table)"""
 MISSING_CONSTRAINTS = f"""
   SELECT a.schema_id, 'MISSING_CONSTRAINT' AS type, CASE a.kind WHEN 'check' THEN 'HIGH' ELSE 'MEDIUM' END AS severity,
     a.table_name, a.kind AS detail, a.n - coalesce(b.n, 0) AS lost_count,
-    'Lost ' || (a.n - coalesce(b.n, 0)) || ' ' || a.kind || ' constraint(s) on table ''' || a.table_name || ''' without warning' AS description
+    (a.n - coalesce(b.n, 0)) || ' ' || a.kind || ' constraint(s) fewer on table ''' || a.table_name || '''' AS description
   FROM (SELECT schema_id, table_name, v.kind, count(*) AS n FROM f_constraints
     JOIN {values(fixed.CONSTRAINT_KINDS.items(), 'letter, kind')} ON letter = constraint_type GROUP BY 1, 2, 3) a
   LEFT JOIN (SELECT schema_id, table_name, v.kind, count(*) AS n FROM c_constraints
@@ -126,16 +126,22 @@ MISSING_CONSTRAINTS = f"""
 HIDDEN_CASCADES = """
   SELECT schema_id, 'INVISIBLE_CASCADE' AS type, 'MEDIUM' AS severity, source_table AS table_name, target_table AS detail,
     CAST(1 AS BIGINT) AS lost_count, 'CASCADE ' || concat_ws('/', CASE WHEN on_delete = 'CASCADE' THEN 'DELETE' END,
-      CASE WHEN on_update = 'CASCADE' THEN 'UPDATE' END) || ' action on ' || source_table || ' -> ' || target_table
-      || ' not visible in diagram' AS description
+      CASE WHEN on_update = 'CASCADE' THEN 'UPDATE' END) || ' of ' || source_table || ' -> ' || target_table
+      || ' does not show' AS description
   FROM c_relationships WHERE on_delete = 'CASCADE' OR on_update = 'CASCADE'"""
 MISSING_COLUMNS = """
   SELECT schema_id, 'MISSING_COLUMN' AS type, 'HIGH' AS severity, table_name, column_name AS detail, CAST(1 AS BIGINT) AS lost_count,
-    'Column ''' || table_name || '.' || column_name || ''' missing from output without warning' AS description
+    'Column ''' || table_name || '.' || column_name || ''' is not in the copy' AS description
   FROM (SELECT DISTINCT schema_id, table_name, column_name FROM f_columns) a
   WHERE NOT EXISTS (SELECT 1 FROM c_columns b WHERE b.schema_id = a.schema_id AND b.table_name = a.table_name
       AND b.column_name = a.column_name)
     AND EXISTS (SELECT 1 FROM c_tables t WHERE t.schema_id = a.schema_id AND t.table_name = a.table_name)"""
+def _with_impact(query: str) -> str:
+    return f"SELECT l.*, v.impact FROM ({query}) l JOIN {values(fixed.LOSS_IMPACTS.items(), 'kind, impact')} ON v.kind = l.type"
+
+
+MISSING_TABLES, MISSING_RELATIONSHIPS, MISSING_CONSTRAINTS, HIDDEN_CASCADES, MISSING_COLUMNS = map(
+    _with_impact, [MISSING_TABLES, MISSING_RELATIONSHIPS, MISSING_CONSTRAINTS, HIDDEN_CASCADES, MISSING_COLUMNS])
 LOSSES = _union(*[f"SELECT * FROM ({q})" for q in [
     MISSING_TABLES, MISSING_RELATIONSHIPS, MISSING_CONSTRAINTS, HIDDEN_CASCADES, MISSING_COLUMNS]])
 SILENT = """
