@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from attestor import scale
+from attestor.session import written
 
 
 def null_counts(df: DataFrame, columns: list[str]) -> DataFrame:
@@ -105,6 +106,26 @@ def cascade_reach(seed: DataFrame, chain: list[tuple[str, DataFrame, str, str]])
     return reduce(DataFrame.unionByName, counts)
 
 
+def cascade_closure(seed: DataFrame, references: DataFrame) -> DataFrame:
+    """(key, level): all rows that deleting the seed takes along through a table that refers to itself.
+
+    ``seed`` has the deleted keys in its only column and is level 0; ``references`` is
+    (parent, child). A row counts once, on the first level that reaches it, so circles end. Each
+    step follows only the rows that the step before has newly reached and writes its result; the
+    depth need not be known, the step that finds nothing is the last.
+    """
+    steps = [written(seed.toDF("key").filter("key IS NOT NULL").distinct(), "reached")]
+    while True:
+        reached = reduce(DataFrame.unionByName, steps)
+        found = (references.join(steps[-1].toDF("parent"), "parent", "left_semi").select(F.col("child").alias("key"))
+                 .filter("key IS NOT NULL").distinct().join(reached, "key", "left_anti"))
+        seen = Observation()
+        step = written(found.observe(seen, F.count("*").alias("n")), "reached")
+        if not seen.get["n"]:
+            return reduce(DataFrame.unionByName, [s.withColumn("level", F.lit(n)) for n, s in enumerate(steps)])
+        steps.append(step)
+
+
 def measured_cardinality(child: DataFrame, parent: DataFrame, on: tuple[str, str]) -> DataFrame:
     """How many children parents really have: the most, and the share of parents with any.
 

@@ -90,6 +90,20 @@ def rec_rows(i):
     return ops.reconcile_rows(a, b, ["o_orderkey"])
 
 
+@query("rec_ranges", """
+  SELECT o_orderkey, CASE WHEN o_orderkey < 0 THEN 'added' WHEN o_orderkey % 5003 = 7 THEN 'lost' ELSE 'changed' END AS status,
+    CAST(CASE WHEN o_orderkey < 0 THEN 0 ELSE 1 END AS BIGINT) AS n_before,
+    CAST(CASE WHEN o_orderkey >= 0 AND o_orderkey % 5003 = 7 THEN 0 ELSE 1 END AS BIGINT) AS n_after
+  FROM (SELECT o_orderkey FROM orders WHERE o_orderkey % 5003 = 7 OR o_orderkey % 5009 = 3
+    UNION ALL SELECT -1 - o_orderkey FROM orders WHERE o_orderkey % 5011 = 0) x""")
+def rec_ranges(i):
+    a = i.table("orders")
+    price = F.when(F.col("o_orderkey") % 5009 == 3, F.col("o_totalprice") + 1).otherwise(F.col("o_totalprice"))
+    b = (a.filter("o_orderkey % 5003 <> 7").withColumn("o_totalprice", price)
+         .unionByName(a.filter("o_orderkey % 5011 = 0").withColumn("o_orderkey", -1 - F.col("o_orderkey"))))
+    return ops.reconcile_ranges(a, b, ["o_orderkey"])
+
+
 @query("rec_groups", """
   SELECT l_suppkey, l_returnflag, count(*) AS n_before, count(*) FILTER (l_partkey % 50 <> 7) AS n_after,
     count(*) FILTER (l_partkey % 50 = 7) AS n_lost FROM lineitem GROUP BY 1, 2

@@ -86,6 +86,25 @@ def val_cascade(i):
         ("lineitem", i.table("lineitem"), "l_orderkey", "l_linenumber")])
 
 
+# orders refer to each other as in a heap with four branches; some refer back, which makes circles
+_REFERENCES = """
+  SELECT o_orderkey AS child, o_orderkey // 4 AS parent FROM orders
+  UNION ALL SELECT o_orderkey // 4, o_orderkey FROM orders WHERE o_orderkey % 100 = 7"""
+
+
+@query("val_closure", """
+  WITH RECURSIVE refs AS (""" + _REFERENCES + """),
+  reached AS (SELECT o_orderkey AS key, 0 AS level FROM orders WHERE o_orderkey IN (5, 30, 77)
+    UNION SELECT child, level + 1 FROM reached JOIN refs ON parent = key WHERE level < 40)
+  SELECT key, min(level) AS level FROM reached GROUP BY 1""")
+def val_closure(i):
+    orders = i.table("orders")
+    up = F.floor(F.col("o_orderkey") / 4)
+    references = orders.select(up.alias("parent"), F.col("o_orderkey").alias("child")).unionByName(
+        orders.filter("o_orderkey % 100 = 7").select(F.col("o_orderkey").alias("parent"), up.alias("child")))
+    return ops.cascade_closure(orders.filter("o_orderkey IN (5, 30, 77)").select("o_orderkey"), references)
+
+
 @query("val_cardinality", """
   SELECT max(n) AS most_children, count(*) AS n_parents, count(*) FILTER (n > 0) AS n_used,
     round(count(*) FILTER (n > 0) / count(*), 6) AS used_share,

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from attestor import fixed
 from attestor.operators import reconcile as ops
-from attestor.operators import relations
+from attestor.operators import relations, rules
 
 LOSS = "schema_id long, type string, severity string, table_name string, detail string, lost_count long, description string"
 WARNING = "schema_id long, source string, message string"
@@ -152,3 +152,22 @@ def test_rows_lost_added_and_changed(spark):
     b = spark.createDataFrame([(1, "a"), (2, "x"), (3, "c"), (5, "e"), (4, None)], "k long, v string")
     found = {r.k: r.status for r in ops.reconcile_rows(a, b, ["k"]).collect()}
     assert found == {2: "changed", 3: "changed", 5: "added"}
+
+
+def test_equal_ranges_are_not_compared_row_by_row(spark):
+    a = spark.range(100_000).selectExpr("id AS k", "id % 7 AS v", "IF(id % 3 = 0, NULL, 'x') AS w")
+    b = (a.filter("k <> 500").withColumn("v", F.when(F.col("k") == 77, None).otherwise(F.col("v")))
+         .unionByName(spark.createDataFrame([(-5, 1, None), (9, 2, "x")], "k long, v long, w string")))
+    found = {r.k: (r.status, r.n_before, r.n_after) for r in ops.reconcile_ranges(a, b, ["k"]).collect()}
+    assert found == {500: ("lost", 1, 0), 77: ("changed", 1, 1), -5: ("added", 0, 1), 9: ("changed", 1, 2)}
+    left, right = ops.differing(a, b, ["k"])
+    assert left.count() < 4 * 200 and right.count() < 4 * 200
+    assert ops.reconcile_ranges(a, a, ["k"]).count() == 0 and ops.reconcile_ranges(a.limit(0), a.limit(0), ["k"]).count() == 0
+
+
+def test_rows_reached_through_references_of_any_depth(spark):
+    edges = [(i, i + 1) for i in range(30)] + [(30, 5), (100, 101), (None, 3), (7, None), (2, 2)]
+    seed = spark.createDataFrame([(3,), (3,), (None,)], "k long")
+    found = rules.cascade_closure(seed, spark.createDataFrame(edges, "parent long, child long"))
+    assert {r.key: r.level for r in found.collect()} == {k: k - 3 for k in range(3, 31)}
+    assert rules.cascade_closure(seed.limit(0), spark.createDataFrame(edges, "parent long, child long")).collect() == []
