@@ -311,3 +311,7 @@ LOSS_IMPACTS = {
     "MISSING_CONSTRAINT": "rules that kept the rows of a table sound",
     "INVISIBLE_CASCADE": "deletions or updates spread to other rows unseen",
     "MISSING_COLUMN": "the definition of a column"}
+
+# types of several words that a diagram cannot hold, and what stands for them
+LINTED_TYPES = {"double precision": "float8", "timestamp with time zone": "timestamptz",
+                "timestamp without time zone": "timestamp", "character varying": "varchar"}

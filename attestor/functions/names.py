@@ -33,16 +33,13 @@ def type_parameters(data_type: Column) -> Column:
     return F.when(data_type.rlike(r"\([^)]*\)"), inside)
 
 
-_WITH_PARAMETERS = r"^([a-zA-Z_][a-zA-Z0-9_]*)\s*\(([^)]+)\)"
-
-
 def type_components(data_type: Column) -> tuple[Column, Column]:
-    """(base type with its brackets, parameters or null)."""
+    """(base type with its brackets, parameters or null); a type whose head is no plain name is a base as it stands."""
     bare = without_brackets(data_type)
-    matches = bare.rlike(_WITH_PARAMETERS)
-    base = F.when(matches, F.regexp_extract(bare, _WITH_PARAMETERS, 1)).otherwise(bare)
-    parameters = F.when(matches, F.regexp_extract(bare, _WITH_PARAMETERS, 2))
-    return F.concat(base, F.when(is_array(data_type), F.lit("[]")).otherwise(F.lit(""))), parameters
+    head, parameters = base_type(data_type), F.nullif(type_parameters(bare), F.lit(""))
+    parted = head.rlike(PLAIN_NAME) & parameters.isNotNull()
+    base = F.when(parted, head).otherwise(bare)
+    return F.concat(base, F.when(is_array(data_type), F.lit("[]")).otherwise(F.lit(""))), F.when(parted, parameters)
 
 
 def listed(values) -> Column:

@@ -95,8 +95,12 @@ def modification_report(scripts: DataFrame) -> DataFrame:
 
 # --- lint -----------------------------------------------------------------------------------
 
-_MULTI_WORD = [r"double\s+precision", r"timestamp\s+with\s+time\s+zone",
-               r"timestamp\s+without\s+time\s+zone", r"character\s+varying"]
+def _words(name: str) -> str:
+    """A name of several words, in any case and with any blanks between them."""
+    return "(?i)" + r"\s+".join(name.split())
+
+
+_END = rf"{W}+\.{W}+"  # one end of a relationship
 
 
 def lint_lines(lines: DataFrame) -> DataFrame:
@@ -112,9 +116,9 @@ def lint_lines(lines: DataFrame) -> DataFrame:
          finding("BRACKET_PLACEMENT", "WARNING")),
         (bare.rlike(rf"default:\s*-[0-9]+{NOT_W}"), finding("UNQUOTED_NEGATIVE_DEFAULT", "ERROR")),
         (bare.rlike(rf"{W}\[\](\S|\z)") & ~F.contains(bare, F.lit('"')), finding("UNQUOTED_ARRAY_TYPE", "ERROR")),
-        *[(bare.rlike(f"(?i){pattern}"), finding("MULTI_WORD_TYPE", "ERROR")) for pattern in _MULTI_WORD],
+        *[(bare.rlike(_words(name)), finding("MULTI_WORD_TYPE", "ERROR")) for name in fixed.LINTED_TYPES],
         (bare.rlike(rf"default:\s*{W}+\(\)") & ~F.contains(bare, F.lit("`")), finding("UNQUOTED_FUNCTION_CALL", "ERROR")),
-        (F.startswith(bare, F.lit("Ref:")) & ~bare.rlike(rf"Ref:\s+{W}+\.{W}+\s+[>-]\s+{W}+\.{W}+"),
+        (F.startswith(bare, F.lit("Ref:")) & ~bare.rlike(rf"Ref:\s+{_END}\s+[>-]\s+{_END}"),
          finding("INCOMPLETE_RELATIONSHIP", "WARNING")))
     return (lines.withColumn("_bare", strip(F.col("line")))
             .filter((bare != "") & ~F.startswith(bare, F.lit("//")))
@@ -161,10 +165,7 @@ REPAIRS = [
     ("TABLE_SETTINGS_SPACING", rf"(Table\s+{W}+)\[", "$1 ["),
     ("NEGATIVE_DEFAULTS", rf"(default:\s*)(-[0-9]+)(?!{W})", "$1'$2'"),
     ("ARRAY_TYPE_QUOTING", rf"({W}+)\[\](?!\s)", '"$1 []"'),
-    ("MULTI_WORD_TYPE float8", r"(?i)double\s+precision", "float8"),
-    ("MULTI_WORD_TYPE timestamptz", r"(?i)timestamp\s+with\s+time\s+zone", "timestamptz"),
-    ("MULTI_WORD_TYPE timestamp", r"(?i)timestamp\s+without\s+time\s+zone", "timestamp"),
-    ("MULTI_WORD_TYPE varchar", r"(?i)character\s+varying", "varchar"),
+    *[(f"MULTI_WORD_TYPE {short}", _words(name), short) for name, short in fixed.LINTED_TYPES.items()],
     ("BRACKET_LINE_BREAKS", r"\n\s*\[", " ["),
 ]
 
