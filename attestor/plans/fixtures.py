@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from attestor import scale
 from attestor.operators import mentions
 from attestor.session import configure, on_clear, written
-from attestor.sources.catalog import Catalog
+from attestor.sources.catalog import Catalog, store_catalog
 
 TABLES = ["region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events",
           "documents", "embeddings", "pages", "benchmark", "labels", "conversations"]
@@ -248,7 +248,9 @@ def with_views(sql: str, **more: str) -> str:
 # folder, as a stored catalog would be, and read back with pruned columns.
 WRITTEN = ["f_columns", "f_rel1", "f_lines"]
 _written: dict[tuple[str, str, str], DataFrame] = {}
+_catalogs: dict[tuple[str, str, bool], Catalog] = {}
 on_clear(_written.clear)
+on_clear(_catalogs.clear)
 
 
 class Inputs:
@@ -258,7 +260,6 @@ class Inputs:
         self.spark = configure(spark)
         self.dir = sf_dir
         self._made: dict[str, DataFrame] = {}
-        self._catalogs: dict[bool, Catalog] = {}
 
     def table(self, name: str) -> DataFrame:
         if name not in self._made:
@@ -306,10 +307,11 @@ class Inputs:
         return joined.select(F.col(key).alias("script_id"), F.col("line").alias("sql"))
 
     def catalog(self, copy: bool = False) -> Catalog:
-        """The source catalog, or its lossy copy; lists of columns become arrays."""
-        if copy not in self._catalogs:
-            self._catalogs[copy] = self._catalog(copy)
-        return replace(self._catalogs[copy])
+        """The source catalog, or its lossy copy, as stored tables; lists of columns become arrays."""
+        key = (self.spark.sparkContext.applicationId, self.dir, copy)
+        if key not in _catalogs:
+            _catalogs[key] = store_catalog(self._catalog(copy))
+        return replace(_catalogs[key])
 
     def _catalog(self, copy: bool) -> Catalog:
         side = "c" if copy else "f"

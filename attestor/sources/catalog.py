@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
 from dataclasses import dataclass, fields
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
+from attestor.session import scratch_folder
+
 _S, _L, _B, _A = T.StringType(), T.LongType(), T.BooleanType(), T.ArrayType(T.StringType())
 
 
@@ -58,3 +61,27 @@ def write_catalog(catalog: Catalog, path: str, fmt: str = "parquet") -> None:
         # the other columns split a schema that holds most of the rows over several files
         by = [n for n in schema.names if not isinstance(schema[n].dataType, T.ArrayType)]
         df.repartitionByRange(*by).sortWithinPartitions(*by).write.format(fmt).save(f"{path}/{name}")
+
+
+# what the record sets are joined and counted by; the others are joined by schema alone or not at all
+BUCKETED_BY = {"tables": ["schema_id", "table_name"], "columns": ["schema_id", "table_name"], "constraints": ["schema_id", "table_name"],
+               "relationships": ["schema_id", "source_table"], "indexes": ["schema_id", "table_name"]}
+
+
+def store_catalog(catalog: Catalog, buckets: int = 16) -> Catalog:
+    """The catalog as tables bucketed and sorted by schema and table, so that joins and counts by these need no shuffle.
+
+    All record sets have the same number of buckets; a schema with most of the tables is spread over
+    all of them, as the name of the table counts too. Files go to the scratch folder.
+    """
+    stored = {}
+    for f in fields(Catalog):
+        df, keys = getattr(catalog, f.name), BUCKETED_BY.get(f.name)
+        if keys:
+            name = f"catalog_{f.name}_{uuid.uuid4().hex}"
+            # one file for each bucket: rows are brought to their bucket before they are written
+            (df.repartition(buckets, *keys).write.bucketBy(buckets, *keys).sortBy(*keys).option("path", scratch_folder(df.sparkSession, f"catalog-{f.name}"))
+             .saveAsTable(name))
+            df = df.sparkSession.table(name)
+        stored[f.name] = df
+    return Catalog(**stored)

@@ -43,3 +43,14 @@ def test_first_rows_are_limited_before_the_shuffle(spark, name):
 def test_shared_parts_are_computed_once(spark, name, scans, exchanges):
     text = plan(spark, name)
     assert text.count("FileScan") <= scans and text.count("Exchange") <= exchanges
+
+
+@pytest.mark.parametrize("name", ["con_apply", "rec_columns"])
+def test_joins_of_stored_catalogs_need_no_shuffle(spark, name):
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        text = plan(spark, name)
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert "SortMergeJoin" in text and "Exchange" not in text
