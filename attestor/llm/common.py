@@ -28,8 +28,6 @@ def prepared(spark: SparkSession) -> SparkSession:
     """
     spark.sparkContext.environment.setdefault("PYTHONPATH", str(Path(__file__).resolve().parents[2]))
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
-    # what Spark broadcasts by itself is held several times over by the driver
-    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "4m")
     configure(spark)
     # nothing here is stored in buckets; keys that hold a third of the rows want all join keys in the hash
     spark.conf.set("spark.sql.requireAllClusterKeysForCoPartition", "true")
