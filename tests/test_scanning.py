@@ -31,6 +31,19 @@ def test_comments_tags_and_quotes_over_lines(spark, monkeypatch, bits):
     assert kinds == {"CREATE TABLE": 2, "OTHER": 5}
 
 
+def test_pieces_meet_in_their_block(spark):
+    lines = spark.createDataFrame(
+        [(1, 1, "a '"), (1, 2, "b\x01\x03;\x01"), (1, 3, "' /* ;"), (1, 4, "*/ c; d"), (1, 5000, "e"), (2, 7, "x;"), (2, 7, "x;"), (None, 1, "n"), (3, None, "n")],
+        "script_id long, line_no long, line string")
+    blocks = scanning.blocks_with_states(lines)
+    assert "ExistingRDD" not in blocks._jdf.queryExecution().executedPlan().toString()  # the lines are read and shuffled once
+    rows = scanning.cut_blocks(blocks.filter("script_id = 1")).collect()
+    assert sorted((r.pos, r.line_no) for r in rows) == [(0, 1), (1, 1), (1, 5000)]  # one row a block and statement, not a line
+    found = mentions.statements(lines).orderBy("script_id", "pos").collect()
+    assert [(r.script_id, r.pos, r.statement) for r in found] == [
+        (1, 0, "a '\nb\x01\x03;\x01\n'  \n  c"), (1, 1, "d\ne"), (2, 0, "x\nx"), (2, 1, "x\nx")]
+
+
 def cut_by_hand(text):
     """Statements of a text, read character by character, without blanks."""
     out, now, at, state, depth = [], "", 0, "", 0
