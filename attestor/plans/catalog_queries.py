@@ -18,7 +18,7 @@ PK = """
     CASE WHEN data_type LIKE '%(%' THEN replace(split_part(data_type, '(', 2), ')', '') ELSE '' END AS type_parameters
   FROM f_columns""")
 def cat_columns(i):
-    return ops.organize_columns(i.catalog().columns).select(
+    return ops.organize_columns(i.views().columns).select(
         "schema_id", "table_name", "ordinal", "column_name", "data_type", "is_array", "base_type",
         F.coalesce("type_parameters", F.lit("")).alias("type_parameters"))
 
@@ -56,7 +56,7 @@ def cat_fks(i):
     source_table = target_table AS is_self_referencing, 'many-to-one' AS relationship_type
   FROM f_relationships""")
 def cat_rels(i):
-    return ops.organize_relationships(i.catalog().relationships).select(
+    return ops.organize_relationships(i.views().relationships).select(
         "schema_id", "rel_no", "source_table", "target_table", "is_composite",
         "is_self_referencing", "relationship_type")
 
@@ -66,7 +66,7 @@ def cat_rels(i):
     CAST(length(columns) - length(replace(columns, ',', '')) + 1 AS INTEGER) AS column_count,
     columns LIKE '%,%' AS is_composite FROM f_indexes""")
 def cat_indexes(i):
-    return ops.organize_indexes(i.catalog().indexes).select(
+    return ops.organize_indexes(i.views().indexes).select(
         "schema_id", "table_name", "index_name", listed("columns").alias("columns"),
         "column_count", "is_composite")
 
@@ -75,7 +75,7 @@ def cat_indexes(i):
   SELECT schema_id, table_name, constraint_name, constraint_type, columns, definition FROM f_constraints""")
 def cat_constraints(i):
     # foreign keys are the ones that dumps add by ALTER TABLE
-    c = i.catalog().constraints
+    c = i.views().constraints
     both = ops.all_constraints(c.filter("constraint_type <> 'f'"), c.filter("constraint_type = 'f'"))
     return both.select("schema_id", "table_name", "constraint_name", "constraint_type",
                        listed("columns").alias("columns"), "definition")
@@ -100,7 +100,7 @@ def cat_tables(i):
   SELECT schema_id, 'sequence', table_name || '_' || column_name || '_seq', '' FROM f_columns
   WHERE data_type = 'bigserial'""")
 def cat_names(i):
-    c = i.catalog()
+    c = i.views()
     return ops.inventory(c.enums, c.sequences).withColumn("values", listed("values"))
 
 
@@ -119,4 +119,4 @@ def cat_names(i):
   LEFT JOIN (SELECT schema_id, count(*) AS n FROM f_indexes GROUP BY 1) x USING (schema_id)
   LEFT JOIN (SELECT schema_id, count(*) AS n FROM f_constraints GROUP BY 1) k USING (schema_id)""")
 def cat_stats(i):
-    return ops.catalog_statistics(i.catalog())
+    return ops.catalog_statistics(i.views())

@@ -6,7 +6,7 @@ from attestor.plans.registry import query
 
 
 def routed(i):
-    return ops.route_constraints(i.catalog().constraints)
+    return ops.route_constraints(i.views().constraints)
 
 
 @query("con_route", """

@@ -9,37 +9,37 @@ from attestor.plans.registry import query
 
 
 def all_features(i):
-    return ops.detect_features(i.catalog())
+    return ops.detect_features(i.views())
 
 
 @query("fea_column", sql.COLUMN_FEATURES)
 def fea_column(i):
-    return ops.column_features(organize_columns(i.catalog().columns))
+    return ops.column_features(organize_columns(i.views().columns))
 
 
 @query("fea_types", sql.TYPE_FEATURES)
 def fea_types(i):
-    return ops.type_features(organize_columns(i.catalog().columns))
+    return ops.type_features(organize_columns(i.views().columns))
 
 
 @query("fea_table", sql.TABLE_FEATURES)
 def fea_table(i):
-    return ops.table_features(i.catalog().tables)
+    return ops.table_features(i.views().tables)
 
 
 @query("fea_constraint", sql.CONSTRAINT_FEATURES)
 def fea_constraint(i):
-    return ops.constraint_features(i.catalog().constraints)
+    return ops.constraint_features(i.views().constraints)
 
 
 @query("fea_index", sql.INDEX_FEATURES)
 def fea_index(i):
-    return ops.index_features(i.catalog().indexes)
+    return ops.index_features(i.views().indexes)
 
 
 @query("fea_rel", sql.RELATIONSHIP_FEATURES)
 def fea_rel(i):
-    return ops.relationship_features(organize_relationships(i.catalog().relationships))
+    return ops.relationship_features(organize_relationships(i.views().relationships))
 
 
 @query("fea_all", "SELECT *, severity IN ('HIGH', 'CRITICAL') AS is_issue FROM features", features=sql.FEATURES)
@@ -118,7 +118,7 @@ def fea_decision(i):
   LEFT JOIN (SELECT DISTINCT schema_id, decision FROM needed) n ON n.schema_id = s.schema_id AND n.decision = d.decision""",
        features=sql.FEATURES, needed=sql.NEEDED_DECISIONS)
 def fea_policy(i):
-    tables = i.catalog().tables
+    tables = i.views().tables
     # every third database asks for arrays as text
     overrides = (tables.filter("schema_id % 3 = 0").select(
         "schema_id", F.lit("ARRAY_TYPE").alias("decision"), F.lit("text_fallback").alias("choice")).distinct())

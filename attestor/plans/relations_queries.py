@@ -84,13 +84,13 @@ def rel_report(i):
     WHEN on_delete = 'RESTRICT' THEN 'restrict' WHEN on_delete IN ('SET NULL', 'SET DEFAULT') THEN 'set' ELSE 'other' END AS action_class
   FROM f_relationships""")
 def rel_action(i):
-    return i.catalog().relationships.select(
+    return i.views().relationships.select(
         "schema_id", "rel_no", ops.action_class(F.col("on_delete"), F.col("on_update")).alias("action_class"))
 
 
 @query("cmp_names", "SELECT * FROM issues WHERE issue_type IN ('INVALID_TABLE_NAME', 'INVALID_COLUMN_NAME', 'RESERVED_KEYWORD', 'LONG_COLUMN_NAME')", **KEYED)
 def cmp_names(i):
-    return cmp.name_issues(i.catalog().tables, i.catalog().columns)
+    return cmp.name_issues(i.views().tables, i.views().columns)
 
 
 @query("cmp_nopk", "SELECT * FROM issues WHERE issue_type = 'NO_PRIMARY_KEY'", **KEYED)
@@ -101,17 +101,17 @@ def cmp_nopk(i):
 
 @query("cmp_types", "SELECT * FROM issues WHERE issue_type = 'COMPLEX_DATA_TYPE'", **KEYED)
 def cmp_types(i):
-    return cmp.complex_type_issues(i.catalog().columns)
+    return cmp.complex_type_issues(i.views().columns)
 
 
 @query("cmp_rels", "SELECT * FROM issues WHERE issue_type IN ('COMPOSITE_RELATIONSHIP', 'SELF_REFERENCING', 'CASCADE_ACTION_INVISIBLE')", **KEYED)
 def cmp_rels(i):
-    return cmp.relationship_issues(i.catalog().relationships)
+    return cmp.relationship_issues(i.views().relationships)
 
 
 @query("cmp_score", "SELECT schema_id, n_issues, n_high, round(score, 6) AS score FROM scores", **KEYED)
 def cmp_score(i):
-    return rounded(cmp.issue_score(cmp.all_issues(i.catalog()), i.catalog().tables))
+    return rounded(cmp.issue_score(cmp.all_issues(i.views()), i.views().tables))
 
 
 @query("cmp_advice", f"""
@@ -119,14 +119,14 @@ def cmp_score(i):
   UNION ALL SELECT DISTINCT schema_id, '{sql.fixed.NO_ADVICE}' FROM f_tables WHERE schema_id NOT IN (
     SELECT schema_id FROM issues WHERE issue_type IN {sql.one_of(sql.fixed.COMPATIBILITY_ADVICE)})""", **KEYED)
 def cmp_advice(i):
-    return cmp.recommendations(cmp.all_issues(i.catalog()), i.catalog().tables)
+    return cmp.recommendations(cmp.all_issues(i.views()), i.views().tables)
 
 
 @query("cmp_grade", """
   SELECT schema_id, n_high, CASE WHEN score >= 0.95 THEN 'EXCELLENT' WHEN score >= 0.85 THEN 'GOOD'
     WHEN score >= 0.7 THEN 'ACCEPTABLE' ELSE 'POOR' END AS grade FROM scores""", **KEYED)
 def cmp_grade(i):
-    return cmp.score_grade(cmp.issue_score(cmp.all_issues(i.catalog()), i.catalog().tables))
+    return cmp.score_grade(cmp.issue_score(cmp.all_issues(i.views()), i.views().tables))
 
 
 @query("cmp_limits", """

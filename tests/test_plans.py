@@ -3,6 +3,9 @@
 import pytest
 
 import __spark_entry__ as entry
+from attestor import session
+from attestor.plans import fixtures
+from attestor.sources import catalog
 
 FOLDER = "/root/testdata/sf0.001"
 
@@ -54,3 +57,16 @@ def test_joins_of_stored_catalogs_need_no_shuffle(spark, name):
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
     assert "SortMergeJoin" in text and "Exchange" not in text
+
+
+def test_only_record_sets_that_are_asked_for_are_made(spark, monkeypatch):
+    catalog.store_catalog(catalog.LazyCatalog(None, tables=spark.range(1)))  # the other record sets are missing
+    made = []
+    inputs = fixtures.Inputs(spark, FOLDER)
+    table = inputs.table
+    monkeypatch.setattr(inputs, "table", lambda name: made.append(name) or table(name))
+    stored = catalog.store_catalog(inputs.views(), buckets=2)
+    assert stored.enums.columns == ["schema_id", "enum_name", "values"] and "f_relationships" not in made
+    before = len(session._scratch)
+    entry.queries()["cat_names"](spark, FOLDER), entry.queries()["cat_stats"](spark, FOLDER)
+    assert not [path for path in session._scratch[before:] if "catalog-" in path]
