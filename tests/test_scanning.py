@@ -5,6 +5,7 @@ import re
 
 import pytest
 
+from attestor import session
 from attestor.operators import mentions, scanning
 from tests.test_text import statements
 
@@ -91,6 +92,28 @@ def test_cutting_agrees_with_reading_characters(spark, monkeypatch):
     assert not wrong, (wrong[0], found.get(texts.index(wrong[0])), cut_by_hand(wrong[0]))
 
 
+def test_short_scripts_are_cut_at_once_and_long_ones_by_blocks(spark, monkeypatch):
+    deep = "/* " * 12 + "x;\n" + "*/ " * 12 + "a; b"
+    texts = [SCRIPT, deep, "a /* one\n\ntwo */ b; c", "a -- b", "x;\n" * 9 + "'y;\n z'"]
+    rows = [(n, k, line) for n, text in enumerate(texts) for k, line in enumerate(text.split("\n"))]
+    rows += [(7, 1, "a;b"), (7, 1, "c;d"), (8, 1, "a -- x;\nb;"), (8, 2, "c")]
+    lines = spark.createDataFrame(rows, "script_id long, line_no long, line string")
+    before = len(session._scratch)
+    short = mentions.statements(lines)
+    assert not [path for path in session._scratch[before:] if "script-blocks" in path]
+    text = short._jdf.queryExecution().executedPlan().toString()
+    assert text.count("Exchange hashpartitioning") == 1 and "pos#" not in text.split("Exchange hashpartitioning")[1]
+    monkeypatch.setattr(scanning, "by_size", lambda lines: (scanning.known_lines(lines).filter("false"), scanning.known_lines(lines)))
+    blocks = mentions.statements(lines)  # every script goes by blocks
+    monkeypatch.undo()
+    monkeypatch.setattr(scanning, "LINES", 3)  # the last text is longer, the others go at once
+    before, both = len(session._scratch), mentions.statements(lines)
+    assert [path for path in session._scratch[before:] if "script-blocks" in path]
+    expected = sorted(blocks.collect())
+    assert sorted(short.collect()) == expected and sorted(both.collect()) == expected
+    assert [r.statement for r in expected if r.script_id == 2] == ["a  \n \n  b", "c"]
+
+
 BODY = """CREATE TABLE public.users (
     id integer NOT NULL DEFAULT nextval('users_id_seq'::regclass), -- key; it's one
     "full ""name" varchar(255) DEFAULT 'a, (b' UNIQUE,
