@@ -70,3 +70,42 @@ def test_only_record_sets_that_are_asked_for_are_made(spark, monkeypatch):
     before = len(session._scratch)
     entry.queries()["cat_names"](spark, FOLDER), entry.queries()["cat_stats"](spark, FOLDER)
     assert not [path for path in session._scratch[before:] if "catalog-" in path]
+
+
+def test_numbers_of_columns_meet_their_orders_in_one_shuffle(spark, monkeypatch):
+    monkeypatch.setattr(fixtures, "WRITTEN", [])
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        columns = fixtures.Inputs(spark, FOLDER).table("f_columns")
+        text = columns._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert text.count("Exchange hashpartitioning") == 2  # one of the lines, one of the orders
+    assert not [line for line in text.split("\n") if "Exchange" in line and "name" in line]  # names follow from numbers
+
+
+def test_every_order_keeps_its_columns(spark, tmp_path):
+    spark.createDataFrame([(1, 7), (1, 7), (2, None), (None, 7)], "o_orderkey long, o_custkey long").write.parquet(f"{tmp_path}/orders.parquet")
+    spark.createDataFrame([(1, 1, 5), (1, 1, 4), (1, None, 6), (2, 3, None), (None, 1, 1), (9, 1, 1)],
+                          "l_orderkey long, l_linenumber int, l_partkey long").write.parquet(f"{tmp_path}/lineitem.parquet")
+    inputs = fixtures.Inputs(spark, str(tmp_path))
+    found = inputs.table("f_columns").select("schema_id", "table_no", "table_name", "ordinal", "p").collect()
+    one = [(7, 1, "t_1", 1, 4), (7, 1, "t_1", None, 6)]
+    assert sorted(map(tuple, found), key=repr) == sorted([*one, *one, (None, 2, "t_2", 3, None)], key=repr)
+    assert sorted(map(tuple, inputs.catalog().columns.select("table_no", "p").collect()), key=repr) == [(1, 4), (1, 4), (1, 6), (1, 6), (2, None)]
+
+
+def test_buckets_grow_with_the_rows():
+    assert [catalog.buckets_for(n) for n in (0, 4_000_000, 4_000_001, 36_000_000, 216_000_000)] == [16, 16, 32, 256, 1024]
+
+
+def test_both_catalogs_are_views_on_the_same_stored_numbers(spark, tmp_path):
+    session.clear_scratch(spark)  # nothing is stored yet
+    before = len(session._scratch)
+    inputs = fixtures.Inputs(spark, FOLDER)
+    for copy in (False, True):
+        for name in ("tables", "columns", "constraints", "relationships", "indexes", "enums", "warnings"):
+            getattr(inputs.catalog(copy), name)
+    made = sorted(path.split("/")[-1].rsplit("-", 1)[0] for path in session._scratch[before:] if "catalog-" in path)
+    assert made == ["catalog-n_columns", "catalog-n_tables", "catalog-n_tables_before"]
