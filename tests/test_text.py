@@ -3,6 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
+from attestor import fixed
 from attestor.functions import diagram, names, text
 from attestor.operators import lines, mentions, types
 
@@ -129,3 +130,14 @@ def test_cast_failures(spark):
     df = spark.createDataFrame([("1", "{}", "true"), ("x", "{", None), (None, None, "maybe")], "a string, b string, c string")
     found = {r.column_name: (r.n_values, r.n_failed) for r in types.cast_failures(df, {"a": "int4", "b": "jsonb", "c": "bool"}).collect()}
     assert found == {"a": (2, 1), "b": (2, 1), "c": (2, 1)}
+
+
+def test_words_that_a_text_lacks_are_not_looked_for_by_pattern(spark):
+    texts = ["a create b  ALTER x;Drop\ty", "create create  CREATE z", "xinsert y updated delete", "nothing", "", None, "ſelect ı İNSERT  x İ delete \u2003 y"]
+    df = spark.createDataFrame([(t,) for t in texts], "c string")
+    plain = F.regexp_replace("c", r"\s+", " ")
+    for word in fixed.STATEMENT_WORDS:
+        plain = F.regexp_replace(plain, rf"(?i)(\S)\s*({word}\s+)", "$1\n$2")
+    assert [a for a, b in df.select(text.normalize_space(F.col("c")), plain).collect()] == [r[0] for r in df.select(plain).collect()]
+    shown = df.select(text.normalize_space(F.col("c")))._jdf.queryExecution().optimizedPlan().toString().lower()
+    assert all("contains(upper(lambda x" in shown and f", {word.lower()})" in shown for word in fixed.STATEMENT_WORDS)
