@@ -114,6 +114,24 @@ def test_short_scripts_are_cut_at_once_and_long_ones_by_blocks(spark, monkeypatc
     assert [r.statement for r in expected if r.script_id == 2] == ["a  \n \n  b", "c"]
 
 
+def test_one_pattern_cuts_a_short_script(spark):
+    lines = spark.createDataFrame([(1, 1, "a '\x01;\x02' \x03\x04; E'x\\'; \x01' /* ;"), (1, 2, "; */ -- ;"), (1, 3, "b;")], "script_id long, line_no long, line string")
+    found = scanning.cut_scripts(lines)
+    text = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "regexp_replace(" in text and "regexp_extract_all(text" not in text  # the text is gone over once
+    assert [(r.pos, r.statement) for r in found.collect() if r.statement] == [(0, "a '\x01;\x02' \x03\x04"), (1, " E'x\\'; \x01'  \n   \nb")]
+
+
+def test_bodies_are_cut_where_they_stand(spark):
+    deep = "(" * 11 + "a, 'b)'" + ")" * 11
+    rows = [(1, 0, f"CREATE TABLE t (a {deep}, b numeric(1, 2),, c e'\\'(') x (y)"), (1, 1, "CREATE TABLE u (a (b, c"), (1, 2, "CREATE TABLE v (a, E'b, 'c), d \\")]
+    tables = mentions.extract_tables(spark.createDataFrame(rows, "script_id long, pos int, statement string"))
+    found = mentions.body_items(tables)
+    assert "Exchange" not in found._jdf.queryExecution().executedPlan().toString()  # no piece is shuffled
+    assert sorted((r.pos, r.item_no, r.definition) for r in found.collect()) == [
+        (0, 0, f"a {deep}"), (0, 1, "b numeric(1, 2)"), (0, 3, "c e'\\'('"), (1, 0, "a (b, c"), (2, 0, "a"), (2, 1, "E'b, 'c")]
+
+
 BODY = """CREATE TABLE public.users (
     id integer NOT NULL DEFAULT nextval('users_id_seq'::regclass), -- key; it's one
     "full ""name" varchar(255) DEFAULT 'a, (b' UNIQUE,
