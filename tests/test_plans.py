@@ -1,5 +1,7 @@
 """What the physical plans must and must not hold."""
 
+import re
+
 import pytest
 
 import __spark_entry__ as entry
@@ -109,3 +111,15 @@ def test_both_catalogs_are_views_on_the_same_stored_numbers(spark, tmp_path):
             getattr(inputs.catalog(copy), name)
     made = sorted(path.split("/")[-1].rsplit("-", 1)[0] for path in session._scratch[before:] if "catalog-" in path)
     assert made == ["catalog-n_columns", "catalog-n_tables", "catalog-n_tables_before"]
+
+
+def test_shares_of_line_items_follow_from_their_rows(spark, tmp_path, monkeypatch):
+    """What meets in one task is bounded in rows, as narrow numbers compress to little and would be sorted on disk."""
+    spark.createDataFrame([(1, 7), (2, 7), (2, 8)], "o_orderkey long, o_custkey long").write.parquet(f"{tmp_path}/orders.parquet")
+    lines = [(1, 1, 5), (1, 1, 4), (2, 1, 6), (None, 1, 1), (3, 1, 1)]
+    spark.createDataFrame(lines, "l_orderkey long, l_linenumber int, l_partkey long").write.parquet(f"{tmp_path}/lineitem.parquet")
+    monkeypatch.setattr(fixtures, "buckets_for", lambda rows: rows * 6)
+    columns = fixtures.Inputs(spark, str(tmp_path))._make("n_columns")
+    plan = columns._jdf.queryExecution().executedPlan().toString()
+    assert re.findall(r"Exchange hashpartitioning\(table_no#\d+L, (\d+)\)", plan) == ["15", "15"] and plan.count("Exchange") == 2
+    assert sorted(map(tuple, columns.collect())) == [(7, 1, 1, 4), (7, 2, 1, 6), (8, 2, 1, 6)]
