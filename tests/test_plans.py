@@ -5,6 +5,7 @@ import re
 import pytest
 
 import __spark_entry__ as entry
+from attestor.operators import mentions
 from attestor import session
 from attestor.plans import fixtures
 from attestor.sources import catalog
@@ -123,3 +124,35 @@ def test_shares_of_line_items_follow_from_their_rows(spark, tmp_path, monkeypatc
     plan = columns._jdf.queryExecution().executedPlan().toString()
     assert re.findall(r"Exchange hashpartitioning\(table_no#\d+L, (\d+)\)", plan) == ["15", "15"] and plan.count("Exchange") == 2
     assert sorted(map(tuple, columns.collect())) == [(7, 1, 1, 4), (7, 2, 1, 6), (8, 2, 1, 6)]
+
+
+def test_patterns_meet_each_statement_once(spark):
+    statements = spark.createDataFrame([(1, 0, "ALTER TABLE t ADD CONSTRAINT k UNIQUE (a)")], "script_id long, pos int, statement string")
+
+    def tried(df, column):
+        plan = df._jdf.queryExecution().optimizedPlan().toString()
+        return len(re.findall(rf"regexp_extract\({column}#|\b{column}#\d+ RLIKE|RLIKE\({column}#", plan))
+
+    assert tried(mentions.added_constraints(statements), "statement") == 1
+    assert tried(mentions.added_constraints(statements), "clause") == 1
+    assert tried(mentions.extract_tables(statements), "statement") == 1
+
+
+def test_kinds_begin_in_any_case_and_with_any_white_space(spark):
+    texts = ["create\n\tunique  INDEX i ON t (a)", "Alter\x0bTable t add constraint k check (a > 0)", "CREATE TABLES (a int)",
+             "CREATE\r\ntable if not exists \"T x\" (a int)", "CREATE INDEXES i ON t (a)", None, "", "ALTER"]
+    statements = spark.createDataFrame(list(enumerate(texts)), "pos int, statement string").selectExpr("1L AS script_id", "pos", "statement")
+    assert [(r.pos, r.is_unique) for r in mentions.extract_indexes(statements).collect()] == [(0, True)]
+    assert [(r.pos, r.constraint_name, r.constraint_type) for r in mentions.added_constraints(statements).collect()] == [(1, "k", "c")]
+    assert [(r.pos, r.table_name) for r in mentions.extract_tables(statements).collect()] == [(3, "T x")]
+
+
+def test_statements_are_read_in_small_shares(spark):
+    default = "134217728b"
+    spark.conf.set("spark.sql.files.maxPartitionBytes", default)
+    fixtures.Inputs(spark, FOLDER)
+    assert int(spark.conf.get("spark.sql.files.maxPartitionBytes")) == fixtures.BYTES_PER_TASK
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "1m")
+    fixtures.Inputs(spark, FOLDER)
+    assert spark.conf.get("spark.sql.files.maxPartitionBytes") == "1m"
+    spark.conf.set("spark.sql.files.maxPartitionBytes", default)
