@@ -59,3 +59,29 @@ def test_near_stage_against_brute_force(spark):
     texts = [(r.doc_id, r.text) for r in docs.collect()]
     kept = {r.doc_id for r in corpus_pipeline.near_stage(spark, docs, "").collect()}
     assert kept == {i for i, _, _, root in brute_roots(texts, 5, 80, 100) if i == root}
+
+
+def test_sets_that_share_one_shingle_by_chance_form_no_cluster(spark):
+    rows = [(100 + i, i + d, 90) for i in range(40) for d in (0, 1)]  # a chain: each shares one list with the next
+    rows += [(h, i, 90 + i % 2) for h in (1, 2, 3) for i in (201, 202)]  # enough lists
+    rows += [(h, i, 90) for h in (4, 5) for i in (211, 212)] + [(h, 211, 90) for h in (4, 4)]  # too few, and equal rows
+    rows += [(h, i, n) for h in (6, 7, 8) for i, n in ((221, 50), (222, 90))]  # sizes do not fit
+    rows += [(9, 231, -10), (9, 232, -11)]  # an equal subset
+    rows += [(10, 300 + i, 90) for i in range(neardup.PAIRED + 1)]  # a long list
+    lists = spark.createDataFrame(rows, "h long, id long, n long")
+    found = {r.id: r.cluster for r in neardup.clusters(lists).collect()}
+    assert found == {201: 201, 202: 201, 231: 231, 232: 231} | {300 + i: 300 for i in range(neardup.PAIRED + 1)}
+
+
+def test_sets_that_link_meet_in_enough_lists():
+    draw = np.random.default_rng(5)
+    for rule in (neardup.CONTRACT, corpus_pipeline.NEAR, neardup.Rule(2, 40, 100), neardup.Rule(1, 1, 100)):
+        for n in (rule.listed, 30, 200):
+            s = np.unique(draw.integers(0, 1 << 63, n).astype(np.uint64))
+            heavy = np.sort(draw.choice(s, len(s) // 2, replace=False))
+            counts = draw.integers(2, 9, len(heavy))
+            for gone in range(len(s)):
+                t = np.unique(np.concatenate((s[gone:], draw.integers(0, 1 << 63, gone // 2).astype(np.uint64))))
+                common = len(np.intersect1d(s, t))
+                if rule.part * common >= rule.number * (len(s) + len(t) - common) and len(t) >= rule.listed:
+                    assert len(np.intersect1d(*(neardup.list_keys(x, (heavy, counts), rule) for x in (s, t)))) >= rule.shared
