@@ -156,3 +156,16 @@ def test_statements_are_read_in_small_shares(spark):
     fixtures.Inputs(spark, FOLDER)
     assert spark.conf.get("spark.sql.files.maxPartitionBytes") == "1m"
     spark.conf.set("spark.sql.files.maxPartitionBytes", default)
+
+
+def test_tables_are_drawn_without_relationships(spark):
+    before = len(session._scratch)
+    entry.queries()["rnd_table"](spark, FOLDER)
+    made = {path.split("/")[-1].rsplit("-", 1)[0] for path in session._scratch[before:]}
+    assert {"drawn-tables", "drawn-columns", "drawn-indexes"} <= made and not made & {"validated", "drawn-relationships"}
+
+
+def test_scratch_tables_are_written_small(spark):
+    session.written(spark.range(3), "small")
+    files = spark.read.format("binaryFile").load(session._scratch[-1]).select("path").collect()
+    assert files and all(".zstd.parquet" in f.path for f in files)
